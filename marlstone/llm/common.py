@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -86,3 +87,63 @@ def gram_starts(offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def is_han(flat: np.ndarray) -> np.ndarray:
     return ((flat >= 0x3400) & (flat <= 0x9FFF)) | ((flat >= 0x20000) & (flat <= 0x323AF))
+
+
+_SPECIAL = np.uint32(0xFFFFFFFF)
+
+
+@lru_cache(maxsize=1)
+def _squeeze_table() -> np.ndarray:
+    """For each code point of the first plane what ``squeeze`` makes of it: 0 for nothing, a code point, or
+    _SPECIAL where its neighbours matter or it becomes several."""
+    out = np.zeros(1 << 16, dtype=np.uint32)
+    for p in range(1 << 16):
+        c = chr(p)
+        kind = unicodedata.category(c)
+        if kind[0] == "M" or 0x1100 <= p <= 0x11FF or p == 0x3A3:
+            out[p] = _SPECIAL
+            continue
+        if kind == "Cs":
+            continue
+        kept = _NOT_TEXT.sub("", unicodedata.normalize("NFKC", c).lower())
+        if kept:
+            out[p] = ord(kept) if len(kept) == 1 and ord(kept) < 1 << 16 else _SPECIAL
+    return out
+
+
+def squeezed_flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``code_points`` of the squeezed texts, without a string for each."""
+    flat, offsets = code_points(texts)
+    table = _squeeze_table()
+    mapped = table[np.minimum(flat, 0xFFFF)]
+    odd = (mapped == _SPECIAL) | (flat > 0xFFFF)
+    owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    if odd.any():
+        strange = np.unique(owner[odd])
+        plain = list(texts)
+        for i in strange:
+            plain[i] = squeeze(texts[i])
+        flat, offsets = code_points(plain)
+        owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
+        mapped = np.where(np.isin(owner, strange), flat, table[np.minimum(flat, 0xFFFF)])
+    keep = mapped != 0
+    sizes = np.bincount(owner[keep], minlength=len(texts))
+    return mapped[keep].astype(np.uint32), np.concatenate(([0], np.cumsum(sizes)))
+
+
+def some_texts(flat: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Flat code points and offsets of the texts ``which`` (a mask)."""
+    sizes = np.diff(offsets)
+    return flat[np.repeat(which, sizes)], np.concatenate(([0], np.cumsum(sizes[which])))
+
+
+def fingerprints(flat: np.ndarray, offsets: np.ndarray, salt: int) -> np.ndarray:
+    """A signed 64-bit hash of each text, the same in every process."""
+    n = len(offsets) - 1
+    if not n:
+        return np.zeros(0, dtype=np.int64)
+    at = np.arange(len(flat)) - np.repeat(offsets[:-1], np.diff(offsets))
+    with np.errstate(over="ignore"):
+        h = mix64(flat.astype(np.uint64) + (at.astype(np.uint64) << np.uint64(24)) + np.uint64(salt) * _MIX)
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h, dtype=np.uint64)))
+        return mix64(total[offsets[1:]] - total[offsets[:-1]] + np.diff(offsets).astype(np.uint64)).astype(np.int64)

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import code_points, gram_hashes, gram_starts, is_han, mix64, squeeze
+from marlstone.llm.common import fingerprints, gram_hashes, gram_starts, is_han, mix64, some_texts, squeezed_flat
 from marlstone.session import cut_table, keep
 
 GRAM_HAN, GRAM_OTHER = 5, 12
@@ -47,39 +47,27 @@ class Shingled:
     offsets: np.ndarray
 
 
-def shingles(texts: list[str]) -> Shingled:
-    """Shingles of squeezed texts. A text shorter than its shingle length is one shingle, an empty one has none."""
-    flat, offsets = code_points(texts)
-    n = len(texts)
-    han = np.add.reduceat(np.append(is_han(flat), False).astype(np.int64), np.minimum(offsets[:-1], len(flat))) if n else np.zeros(0)
-    lengths = np.diff(offsets)
-    chinese = (han * 3 >= lengths) & (lengths > 0)
-    out, owners = [], []
-    for k, mine in ((GRAM_HAN, chinese), (GRAM_OTHER, ~chinese)):
-        if not mine.any():
+def grouped(flat: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, Shingled]]:
+    """Shingles of squeezed texts, Chinese texts and others apart: (positions of the texts, shingles). A text
+    shorter than its shingle length is one shingle; empty texts are in no group."""
+    sizes = np.diff(offsets)
+    cum = np.concatenate(([0], np.cumsum(is_han(flat))))
+    chinese = (cum[offsets[1:]] - cum[offsets[:-1]]) * 3 >= sizes
+    out = []
+    for k, mine in ((GRAM_HAN, chinese & (sizes > 0)), (GRAM_OTHER, ~chinese & (sizes > 0))):
+        where = np.flatnonzero(mine)
+        if not len(where):
             continue
-        h = gram_hashes(flat, k)
-        starts, owner = gram_starts(offsets, k)
-        take = mine[owner]
-        out.append(h[starts[take]])
-        owners.append(owner[take])
-        short = np.flatnonzero(mine & (lengths < k) & (lengths > 0))
+        f, o = some_texts(flat, offsets, mine)
+        h = gram_hashes(f, k)
+        starts, owner = gram_starts(o, k)
+        hashes, counts = h[starts] if len(starts) else h, np.bincount(owner, minlength=len(where))
+        short = np.flatnonzero(counts == 0)
         if len(short):
-            out.append(np.array([mix64(np.array([hash_text(texts[i])], dtype=np.uint64))[0] for i in short], dtype=np.uint64))
-            owners.append(short)
-    if not out:
-        return Shingled(np.zeros(0, np.uint64), np.zeros(n + 1, np.int64))
-    h, o = np.concatenate(out), np.concatenate(owners)
-    order = np.argsort(o, kind="stable")
-    counts = np.bincount(o, minlength=n)
-    return Shingled(h[order], np.concatenate(([0], np.cumsum(counts))))
-
-
-def hash_text(text: str) -> int:
-    """64-bit hash of a text, the same in every process."""
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+            hashes = np.insert(hashes, np.cumsum(counts)[short], fingerprints(*some_texts(f, o, counts == 0), 7).astype(np.uint64))
+            counts[short] = 1
+        out.append((where, Shingled(hashes, np.concatenate(([0], np.cumsum(counts))))))
+    return out
 
 
 def kept(found: Shingled, counts: np.ndarray, most: float) -> Shingled:
@@ -98,31 +86,34 @@ def kept(found: Shingled, counts: np.ndarray, most: float) -> Shingled:
 
 
 _rng = np.random.default_rng(20240229)
-_A = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-_B = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+_A = _rng.integers(1, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
+_B = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
+#: Longs that hold one byte of each of the first minhash values.
+SKETCH = 5
 
 
 def minhashes(found: Shingled) -> np.ndarray:
-    """One row of BANDS*ROWS values per text; texts without shingles get the greatest value."""
-    n = len(found.offsets) - 1
-    out = np.full((n, BANDS * ROWS), np.iinfo(np.uint32).max, dtype=np.uint32)
-    some = np.flatnonzero(np.diff(found.offsets))
-    if not len(some):
-        return out
-    begins = found.offsets[:-1][some]
+    """One row of BANDS*ROWS values per text; each text has a shingle."""
+    out = np.empty((len(found.offsets) - 1, BANDS * ROWS), dtype=np.uint32)
+    short = (found.hashes >> np.uint64(32)).astype(np.uint32)
     with np.errstate(over="ignore"):
         for i in range(BANDS * ROWS):
-            values = ((found.hashes * _A[i] + _B[i]) >> np.uint64(32)).astype(np.uint32)
-            out[some, i] = np.minimum.reduceat(values, begins)
+            values = short * _A[i]
+            values ^= _B[i]
+            out[:, i] = np.minimum.reduceat(values, found.offsets[:-1])
     return out
 
 
-def bands(values: np.ndarray, salt: np.ndarray) -> np.ndarray:
+def sketches(values: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray((values[:, : 8 * SKETCH] & np.uint32(255)).astype(np.uint8)).view(np.int64)
+
+
+def bands(values: np.ndarray, salt: int) -> np.ndarray:
     """A bucket number per text and band; ``salt`` keeps the tables apart."""
     out = np.empty((len(values), BANDS), dtype=np.int64)
     with np.errstate(over="ignore"):
         for b in range(BANDS):
-            h = salt + np.uint64(b + 1)
+            h = np.full(len(values), (salt << 32) + b + 1, dtype=np.uint64)
             for r in range(ROWS):
                 h = mix64(h * np.uint64(0x100000001B3) + values[:, b * ROWS + r])
             out[:, b] = (h >> np.uint64(24)).astype(np.int64)  # 40 bits, which compress better than 64
@@ -176,10 +167,10 @@ def shingle_counts(rows: DataFrame, tables: int) -> tuple[list[np.ndarray], list
         for b in batches:
             for tab, part in b.groupby("tab"):
                 weights = np.array([1.0 / mine.get((int(tab), int(h)), 1) for h in part["h"]])
-                found = shingles([squeeze(t) for t in part["text"]])
-                owner = np.repeat(np.arange(len(part)), np.diff(found.offsets))
-                got = np.bincount((found.hashes & np.uint64(BUCKETS - 1)).astype(np.int64), weights=weights[owner], minlength=BUCKETS)
-                sums[int(tab)] = sums.get(int(tab), 0) + got
+                for where, found in grouped(*squeezed_flat(list(part["text"]))):
+                    w = np.repeat(weights[where], np.diff(found.offsets))
+                    got = np.bincount((found.hashes & np.uint64(BUCKETS - 1)).astype(np.int64), weights=w, minlength=BUCKETS)
+                    sums[int(tab)] = sums.get(int(tab), 0) + got
         for tab, got in sums.items():
             parts = got.astype(np.float32).reshape(-1, CHUNK)
             yield pd.DataFrame({"tab": tab, "chunk": range(len(parts)), "counts": [p.tobytes() for p in parts]})
@@ -213,64 +204,81 @@ def near_pairs(tables: Mapping[str, tuple[DataFrame, str, str, str]], threshold:
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b = b.assign(text=[squeeze(t) for t in b["text"]])
-            b = b[b["text"] != ""]
-            b = b.assign(fp=[fingerprint(int(t), x) for t, x in zip(b["tab"], b["text"])]).drop_duplicates(["fp", "side"])
             for tab, part in b.groupby("tab"):
-                found = kept(shingles(list(part["text"])), shared.value[int(tab)], most[int(tab)])
-                values = minhashes(found)
-                salt = np.full(len(part), np.uint64((int(tab) + 1) << 32), dtype=np.uint64)
-                yield pd.DataFrame({
-                    "fp": part["fp"].to_numpy(), "side": part["side"].to_numpy(),
-                    "sketch": [v.tobytes() for v in (values & np.uint32(255)).astype(np.uint8)], "bands": list(bands(values, salt)),
-                })
+                flat, offsets = squeezed_flat(list(part["text"]))
+                fp = fingerprints(flat, offsets, int(tab))
+                out = pd.DataFrame({"tab": part["tab"], "id": part["id"], "side": part["side"], "split": part["split"], "fp": fp})
+                out["bands"] = None
+                for i in range(SKETCH):
+                    out[f"s{i}"] = np.int64(0)
+                # Copies within the batch get no bands: the first of each side stands for them.
+                out["head"] = ~out.duplicated(["fp", "side"]) & (np.diff(offsets) > 0)
+                heads = np.flatnonzero(out["head"])
+                flat, offsets2 = some_texts(flat, offsets, out["head"].to_numpy())
+                buckets = np.empty(len(out), dtype=object)
+                sk = np.zeros((len(out), SKETCH), dtype=np.int64)
+                for where, found in grouped(flat, offsets2):
+                    values = minhashes(kept(found, shared.value[int(tab)], most[int(tab)]))
+                    buckets[heads[where]] = list(bands(values, int(tab) + 1))
+                    sk[heads[where]] = sketches(values)
+                out["bands"] = buckets
+                for i in range(SKETCH):
+                    out[f"s{i}"] = sk[:, i]
+                yield out[np.diff(offsets) > 0]
 
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b = b.assign(text=[squeeze(t) for t in b["text"]])
-            b = b[b["text"] != ""]
-            yield b.assign(fp=[fingerprint(int(t), x) for t, x in zip(b["tab"], b["text"])])
+            for tab, part in b.groupby("tab"):
+                yield part.assign(fp=fingerprints(*squeezed_flat(list(part["text"])), int(tab)))[["tab", "fp", "text"]]
 
-    sketched = keep(rows.select("tab", "text", "side").mapInPandas(sketch, "fp long, side int, sketch binary, bands array<long>"))
-    entries = sketched.select("fp", "side", F.explode("bands").alias("band"))
+    sk = [f"s{i}" for i in range(SKETCH)]
+    schema = "tab int, id string, side int, split string, fp long, bands array<long>, " + ", ".join(f"{c} long" for c in sk) + ", head boolean"
+    sketched = keep(rows.select("tab", "id", "text", "side", "split").mapInPandas(sketch, schema))
+    heads = sketched.where("head")
+    entries = heads.select("fp", "side", F.explode("bands").alias("band"))
     ours = entries.where("side = 2").select("band", F.col("fp").alias("e"))
     theirs = entries.where("side = 1").select("band", F.col("fp").alias("t"))
     candidates = ours.join(theirs, "band").where(F.col("e") != F.col("t")).select("e", "t").distinct()
-    sketches = sketched.select("fp", "sketch").dropDuplicates(["fp"])
-    candidates = candidates.join(sketches.select(F.col("fp").alias("e"), F.col("sketch").alias("se")), "e")
-    candidates = candidates.join(sketches.select(F.col("fp").alias("t"), F.col("sketch").alias("st")), "t")
+    one = heads.groupBy("fp").agg(*(F.min(c).alias(c) for c in sk))
+    candidates = candidates.join(one.select(F.col("fp").alias("e"), *(F.col(c).alias(f"e{c}") for c in sk)), "e")
+    candidates = candidates.join(one.select(F.col("fp").alias("t"), *(F.col(c).alias(f"t{c}") for c in sk)), "t")
 
     def agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if len(b):
-                a = np.frombuffer(b"".join(b["se"]), dtype=np.uint8).reshape(len(b), -1)
-                c = np.frombuffer(b"".join(b["st"]), dtype=np.uint8).reshape(len(b), -1)
-                b = b[(a == c).mean(axis=1) >= LEAST_AGREE]
-            yield b[["e", "t"]]
+            x = np.ascontiguousarray(b[[f"e{c}" for c in sk]].to_numpy()).view(np.uint8)
+            y = np.ascontiguousarray(b[[f"t{c}" for c in sk]].to_numpy()).view(np.uint8)
+            yield b[["e", "t"]][(x == y).mean(axis=1) >= LEAST_AGREE]
 
     likely = cut_table(candidates.mapInPandas(agree, "e long, t long"))
     wanted = likely.select(F.explode(F.array("e", "t")).alias("fp")).distinct()
-    small = wanted.count() <= SMALL_LIST
-    hint = F.broadcast if small else (lambda x: x)
-    printed = rows.select("tab", "text", "side", "id", "split").mapInPandas(prints, "tab int, text string, side int, id string, split string, fp long")
-    texts_of = printed.join(hint(wanted), "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text"), F.first("tab").alias("tab"))
+    hint = F.broadcast if wanted.count() <= SMALL_LIST else (lambda x: x)
+    # Texts of the candidates only: one row of each, found by its id.
+    places = sketched.select("tab", "id", "fp").join(hint(wanted), "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("tab", "id")).alias("p"))
+    ids = places.select("p.tab", "p.id").distinct()
+    raw = rows.select("tab", "id", "text").join(hint(ids), ["tab", "id"], "left_semi").mapInPandas(prints, "tab int, fp long, text string")
+    texts_of = keep(raw.groupBy("fp").agg(F.min(F.struct("tab", "text")).alias("x")).select("fp", "x.tab", "x.text"))
     pairs = likely.join(texts_of.select(F.col("fp").alias("e"), F.col("text").alias("te"), "tab"), "e")
     pairs = pairs.join(texts_of.select(F.col("fp").alias("t"), F.col("text").alias("tt")), "t")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for tab, part in b.groupby("tab"):
-                x = kept(shingles(list(part["te"])), shared.value[int(tab)], most[int(tab)])
-                y = kept(shingles(list(part["tt"])), shared.value[int(tab)], most[int(tab)])
-                j = np.array([jaccard(x.hashes[x.offsets[i] : x.offsets[i + 1]], y.hashes[y.offsets[i] : y.offsets[i + 1]]) for i in range(len(part))])
+                both = []
+                for side in ("te", "tt"):
+                    of: list = [None] * len(part)
+                    for where, found in grouped(*squeezed_flat(list(part[side]))):
+                        left = kept(found, shared.value[int(tab)], most[int(tab)])
+                        for j, i in enumerate(where):
+                            of[i] = left.hashes[left.offsets[j] : left.offsets[j + 1]]
+                    both.append(of)
+                j = np.array([jaccard(x, y) if x is not None and y is not None else 0.0 for x, y in zip(*both)])
                 yield pd.DataFrame({"e": part["e"], "t": part["t"], "similarity": j})[j >= threshold]
 
     verified = cut_table(pairs.select("e", "t", "tab", "te", "tt").mapInPandas(verify, "e long, t long, similarity double"))
-    members = printed.select("tab", "fp", "side", "id", "split")
+    members = sketched.select("tab", "fp", "side", "id", "split")
     evals = members.where("side = 2").select("tab", F.col("fp").alias("e"), F.col("id").alias("eval_id"), F.col("split").alias("eval_split"))
     trains = members.where("side = 1").select(F.col("fp").alias("t"), F.col("id").alias("train_id"))
-    few = verified.count() <= SMALL_LIST
-    hint = F.broadcast if few else (lambda x: x)
+    hint = F.broadcast if verified.count() <= SMALL_LIST else (lambda x: x)
     near = evals.join(hint(verified), "e")
     same = evals.select("tab", "e", "eval_id", "eval_split", F.col("e").alias("t"), F.lit(1.0).alias("similarity"))
     out = near.select(same.columns).unionByName(same).join(trains, "t")
@@ -278,13 +286,6 @@ def near_pairs(tables: Mapping[str, tuple[DataFrame, str, str, str]], threshold:
     return out.where(F.col("eval_id") != F.col("train_id")).select(source.alias("source"), "train_id", "eval_id", "eval_split", "similarity").distinct()
 
 
-def fingerprint(tab: int, text: str) -> int:
-    """Signed 56-bit hash of a table's text; candidates are verified by their texts later."""
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), seed=tab + 1) >> 8
-
-
 def overlap_report(pairs: DataFrame) -> DataFrame:
     """Confirmed pairs, and evaluation and training rows in them, by source and split of the evaluation row."""
     return pairs.groupBy("source", "eval_split").agg(
