@@ -26,7 +26,7 @@ from marlstone.llm.common import FULL, HALF
 KINDS = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDER = {k: f"<{k.upper()}>" for k in KINDS}
 #: Bounds of the sample that the weights are fitted on.
-SAMPLE_ROWS, SAMPLE_CHARS = 2000, 4000
+SAMPLE_ROWS, SAMPLE_CHARS = 6000, 4000
 _WIDTH = str.maketrans(FULL, HALF)
 
 # Frequent Chinese surnames, single and compound.
@@ -265,9 +265,9 @@ def may_hold(text: Column) -> Column:
 
 
 def fit_weights(df: DataFrame, text: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict[str, float]:
-    """Fit on at most ``rows`` texts with candidates, the first by hash, and ``chars`` characters of each."""
+    """Fit on the texts of at most ``rows`` rows, the first by hash, and ``chars`` characters of each."""
     t = F.col(text)
-    sample = df.where(may_hold(t)).select(F.substring(t, 1, chars).alias("t"), F.xxhash64(t).alias("h")).orderBy("h", "t").limit(rows)
+    sample = df.where(t.isNotNull()).select(F.substring(t, 1, chars).alias("t"), F.xxhash64(t).alias("h")).orderBy("h", "t").limit(rows)
     return fit(sorted({r["t"] for r in sample.collect()}))
 
 
