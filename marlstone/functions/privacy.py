@@ -5,11 +5,9 @@ Word characters and digits are those of Unicode, as the rules are stated.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import strip  # noqa: F401  (part of the module's surface)
-
 # Patterns of the ingestion gate, in the order in which they are applied.
 W, D = r"\p{L}\p{N}_", r"\p{Nd}"
 GATE = {
@@ -135,15 +133,16 @@ def curation_unsafe(hits: Column) -> Column:
     return F.arrays_overlap(hits, F.array(*map(F.lit, FAIL_CLOSED)))
 
 
-def anonymize(text: Column) -> Column:
+def anonymized(df: DataFrame, text: str, out: str = "anonymized") -> DataFrame:
     """Each hit category replaced; a text that is unsafe, or still hit afterwards, becomes a placeholder as a
-    whole."""
-    hits = curation_hits(text)
-    out = text
-    for k, patterns in CURATION.items():
-        for p in patterns:
-            out = F.when(F.array_contains(hits, k), F.regexp_replace(out, p, f"[REDACTED_{k.upper()}]")).otherwise(out)
-    return F.when(curation_unsafe(hits), F.lit(UNSAFE)).when(F.size(hits) == 0, text).when(F.size(curation_hits(out)) > 0, F.lit(UNSAFE)).otherwise(out)
+    whole. ``_hits``, ``_clean`` and ``_left`` must not be columns of ``df``."""
+    steps = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(p).alias("p"), F.lit(f"[REDACTED_{k.upper()}]").alias("r")) for k, ps in CURATION.items() for p in ps))
+    df = df.withColumn("_hits", curation_hits(F.col(text)))
+    wanted = F.filter(steps, lambda x: F.array_contains(F.col("_hits"), x["k"]))
+    df = df.withColumn("_clean", F.aggregate(wanted, F.col(text), lambda acc, x: F.regexp_replace(acc, x["p"], x["r"])))
+    df = df.withColumn("_left", F.when(F.size("_hits") > 0, F.size(curation_hits(F.col("_clean")))).otherwise(F.lit(0)))
+    final = F.when(curation_unsafe(F.col("_hits")) | (F.col("_left") > 0), F.lit(UNSAFE)).otherwise(F.col("_clean"))
+    return df.withColumn(out, final).drop("_hits", "_clean", "_left")
 
 
 # Public asset scan.
