@@ -7,7 +7,7 @@ from importlib import import_module
 from marlstone.plans.registry import Query
 
 #: Modules with queries, in the order in which they are listed.
-MODULES = ("retrieval", "texts", "curation")
+MODULES = ("retrieval", "texts", "curation", "metrics", "state", "relational")
 
 
 def _merged(what: str) -> dict:

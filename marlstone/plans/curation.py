@@ -43,7 +43,7 @@ def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return m.join(links, "class", "left").select("question_id", "class", F.coalesce("links", F.lit(0)).alias("links"))
 
 
-@query(f"WITH {_REPS}, {_SHINGLES} SELECT a, b, "both", "either" FROM pairs")
+@query(f'WITH {_REPS}, {_SHINGLES} SELECT a, b, "both", "either" FROM pairs')
 def near_duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
     return near_pairs(spark, d).select("a", "b", "both", "either")
 
