@@ -59,12 +59,15 @@ def mastery(attempts: DataFrame, user: str, order: list[str], passed: Column) ->
 
 
 def schedule(plans: DataFrame, plan: str, days: str, minutes: str) -> DataFrame:
-    """(plan, day, phase, minutes): one task a day; the first 45 % of days learn, up to 78 % practise, then
-    consolidate, and the last day reviews. Minutes are shared evenly, the remainder goes to the first days."""
+    """(plan, day, phase, minutes): one task a day. By the share of the way to the last day: study (the very
+    first a diagnostic), from 45 % practice, from 78 % a mock interview, and the last day reviews. Minutes
+    are shared evenly, at least 15 a day, the remainder goes to the first days."""
     rows = plans.where(F.col(days) > 0).select(plan, days, minutes, F.explode(F.sequence(F.lit(0), F.col(days) - 1)).alias("i"))
-    ratio = F.col("i") / F.col(days)
-    phase = F.when(F.col("i") == F.col(days) - 1, "review").when(ratio < 0.45, "learn").when(ratio < 0.78, "practise").otherwise("consolidate")
-    share = F.floor(F.col(minutes) / F.col(days)) + (F.col("i") < F.col(minutes) % F.col(days)).cast("int")
+    last = F.col(days) - 1
+    ratio = F.col("i") / F.greatest(last, F.lit(1))
+    phase = F.when(F.col("i") == last, "review").when(ratio >= 0.78, "mock").when(ratio >= 0.45, "practice").when(F.col("i") == 0, "diagnostic").otherwise("study")
+    daily = F.greatest(F.lit(15), F.floor(F.col(minutes) / F.col(days)))
+    share = daily + (F.col("i") < F.col(minutes) - daily * F.col(days)).cast("int")
     return rows.select(plan, (F.col("i") + 1).alias("day"), phase.alias("phase"), share.cast("int").alias("minutes"))
 
 

@@ -45,7 +45,8 @@ def mastery_fold(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT o_orderkey AS plan, CAST(o_orderkey % 14 + 1 AS INT) AS days, CAST(o_orderkey % 600 + 60 AS INT) AS minutes FROM orders)
-SELECT plan, CAST(i + 1 AS INT) AS day, CASE WHEN i = days - 1 THEN 'review' WHEN i / days < 0.45 THEN 'learn' WHEN i / days < 0.78 THEN 'practise' ELSE 'consolidate' END AS phase, minutes // days + (i < minutes % days)::INT AS minutes
+SELECT plan, CAST(i + 1 AS INT) AS day, CASE WHEN i = days - 1 THEN 'review' WHEN i / greatest(days - 1, 1) >= 0.78 THEN 'mock' WHEN i / greatest(days - 1, 1) >= 0.45 THEN 'practice' WHEN i = 0 THEN 'diagnostic' ELSE 'study' END AS phase,
+  greatest(15, minutes // days) + (i < minutes - greatest(15, minutes // days) * days)::INT AS minutes
 FROM (SELECT *, unnest(range(0, days)) AS i FROM p)""")
 def plan_schedule(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
