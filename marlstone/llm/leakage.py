@@ -277,4 +277,4 @@ def leak_report(found: DataFrame, passages: DataFrame, passage_key: str = "passa
     )
 
 
-__all__ = ["leaked_passages", "leak_report", "stock_sentences", "segments"]
+
