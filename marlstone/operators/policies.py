@@ -86,7 +86,8 @@ def url_problem(value: str | None) -> str | None:
         return "path"
     if any(x in (".", "..") for x in path.split("/")) or unicodedata.normalize("NFC", path) != path:
         return "path"
-    return None if value == f"https://{u.netloc}{u.path}" else "form"
+    shown = f"[{host}]" if ":" in host else host
+    return None if value == f"https://{shown}{u.path}" else "form"
 
 
 def url_problems(col: Column) -> Column:

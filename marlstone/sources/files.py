@@ -102,8 +102,8 @@ def extract(path: str, content: bytes) -> list[tuple[str, int | None, str, str]]
 
 
 def scan_files(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks of all files below ``path``. A file that cannot be read gives one row with its error, and does
-    not stop the others."""
+    """Blocks of all files below ``path``. A file that cannot be read or has no text gives one row with its
+    error, and does not stop the others; the listing passes over files of no bytes."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []

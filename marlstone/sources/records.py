@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A row of a retrieval corpus.
-CORPUS = T.StructType.fromDDL(
-    "source_id string, chunk_id string, text string, title string, section string, page int, published_at date, authority_level string, metadata map<string,string>"
+CORPUS = T.StructType(
+    [T.StructField(c, T.StringType()) for c in ("source_id", "chunk_id", "text", "title", "section")]
+    + [T.StructField("page", T.IntegerType()), T.StructField("published_at", T.DateType()), T.StructField("authority_level", T.StringType())]
+    + [T.StructField("metadata", T.MapType(T.StringType(), T.StringType()))]
 )
 LANES = ("generic", "personal")
 
@@ -62,7 +64,8 @@ def scoped_corpus(generic: DataFrame, personal: DataFrame, lane: str = "privacy_
 def in_scope(df: DataFrame, scope: str, lane: str = "privacy_lane") -> DataFrame:
     """Rows of a lane, or of all lanes for ``all``; rows of an unknown lane raise when they are read."""
     known = F.col(lane).isin(*LANES)
-    checked = df.where(F.coalesce(known, F.raise_error(F.concat(F.lit("unknown lane "), F.coalesce(F.col(lane), F.lit("null"))).cast("string")).cast("boolean")))
+    unknown = F.raise_error(F.concat(F.lit("unknown lane "), F.coalesce(F.col(lane), F.lit("null")))).cast("boolean")
+    checked = df.where(F.when(known, F.lit(True)).otherwise(unknown))
     return checked if scope == "all" else checked.where(F.col(lane) == scope)
 
 
