@@ -7,6 +7,8 @@ each page
 - ``pmi``: the mean pointwise mutual information of its neighbouring words, low for word salad;
 - ``repeated``: the share of its pairs that occur three times or more in it, and ``burst``: how far these
   collocations exceed their share of the corpus (their part of the divergence of page from corpus);
+- ``kinds``: different pairs by pairs, which is low where little but the same collocations comes, however
+  common such pages are in the corpus;
 - ``links``: the share of links and tags among its words.
 
 A page is spam if repeated collocations dominate it, if links and tags are dense, or if its neighbours
@@ -28,6 +30,8 @@ from marlstone.llm.common import mix64
 
 #: Thresholds: of burst times repeated share, of links and tags among words, of mean PMI; least words of a page.
 LEAST_REPETITION, LEAST_LINKS, LEAST_PMI, LEAST_WORDS = 1.7, 0.125, 0.5, 12
+#: Repeated share and kinds from which repetition is excessive whatever the corpus holds.
+MOST_REPEATED, FEW_KINDS = 0.75, 0.3
 REPEATS = 3
 #: Cells of a sketch row, and rows: the least of the rows is the estimate.
 WORD_CELLS, PAIR_CELLS, DEPTH = 1 << 17, 1 << 19, 2
@@ -157,11 +161,12 @@ def page_features(texts: list[str | None], hashes: _Hashes, word_counts: np.ndar
     joint = (np.maximum(estimate(pair_counts, p) - c_of, 0) + 0.5) / (n_pairs + 1)
     pmi = np.log(joint) - np.log(rest[inner] / (n_words + 1)) - np.log(rest[inner + 1] / (n_words + 1))
     mean = np.bincount(pair_owner, weights=pmi, minlength=n) / pairs
-    return pd.DataFrame({"words": size, "links": links, "repeated": repeated, "burst": burst, "pmi": mean})
+    kinds = np.bincount(who, minlength=n) / pairs
+    return pd.DataFrame({"words": size, "links": links, "repeated": repeated, "burst": burst, "kinds": kinds, "pmi": mean})
 
 
 def score_pages(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``df``: key, ``words``, ``links``, ``repeated``, ``burst``, ``pmi`` and ``spam`` with
+    """One row per row of ``df``: key, ``words``, ``links``, ``repeated``, ``burst``, ``kinds``, ``pmi`` and ``spam`` with
     ``reason`` (links, repetition, salad, null). Null and empty texts have no words and are no spam, nor are
     pages of fewer than LEAST_WORDS words; texts are read whole; repeated rows stay; extra columns are
     ignored; an empty table gives an empty one."""
@@ -176,11 +181,11 @@ def score_pages(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
             yield f
 
     kind = dict(rows.dtypes)["d"]
-    out = rows.mapInPandas(score, f"d {kind}, words long, links double, repeated double, burst double, pmi double")
+    out = rows.mapInPandas(score, f"d {kind}, words long, links double, repeated double, burst double, kinds double, pmi double")
     enough = F.col("words") >= LEAST_WORDS
     reason = (
         F.when(enough & (F.col("links") >= LEAST_LINKS), "links")
-        .when(enough & (F.col("burst") * F.col("repeated") >= LEAST_REPETITION), "repetition")
+        .when(enough & ((F.col("burst") * F.col("repeated") >= LEAST_REPETITION) | ((F.col("repeated") >= MOST_REPEATED) & (F.col("kinds") <= FEW_KINDS))), "repetition")
         .when((F.col("words") >= 3 * LEAST_WORDS) & (F.col("pmi") < LEAST_PMI), "salad")
     )
     return out.withColumn("reason", reason).withColumn("spam", F.col("reason").isNotNull()).withColumnRenamed("d", key)
