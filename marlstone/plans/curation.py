@@ -57,15 +57,17 @@ def components(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH reps AS (SELECT answer AS text, min(case_id) AS class FROM grading_cases WHERE answer IS NOT NULL GROUP BY answer),
-tf AS (SELECT class, t, count(*) AS tf FROM (SELECT class, unnest(regexp_extract_all(lower(text), '[a-z0-9]+|[一-鿿]')) AS t FROM reps) GROUP BY ALL),
+w AS (SELECT class, regexp_extract_all(lower(text), '[a-z0-9]+|[一-鿿]') AS w FROM reps),
+tf AS (SELECT class, t, count(*) AS tf FROM (SELECT class, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], chr(31)))) AS t FROM w WHERE len(w) >= 5) GROUP BY ALL),
 norm AS (SELECT class, sum(tf * tf) AS n FROM tf GROUP BY class)
 SELECT a.class AS a, b.class AS b, CAST(sum(a.tf * b.tf) AS BIGINT) AS dot FROM tf a JOIN tf b ON a.t = b.t AND a.class < b.class JOIN norm x ON x.class = a.class JOIN norm y ON y.class = b.class
-GROUP BY a.class, b.class HAVING CAST(sum(a.tf * b.tf) AS HUGEINT) * sum(a.tf * b.tf) * 10000 >= CAST(any_value(x.n) AS HUGEINT) * any_value(y.n) * 9604""")
+GROUP BY a.class, b.class HAVING CAST(sum(a.tf * b.tf) AS HUGEINT) * sum(a.tf * b.tf) * 10000 >= CAST(any_value(x.n) AS HUGEINT) * any_value(y.n) * 7396""")
 def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Answers whose bags of words have a cosine of 0.98 or more."""
-    reps = S.representatives(table(spark, d, "grading_cases"), "case_id", "answer")
-    tf = reps.select("class", F.explode(S.words(F.col("text"))).alias("t")).groupBy("class", "t").agg(F.count("*").alias("tf"))
-    return S.cosine_join(tf, "class", "t", "tf", 98, 100).select("a", "b", "dot")
+    """Answers whose bags of five-word shingles have a cosine of 0.86 or more."""
+    reps = S.representatives(table(spark, d, "grading_cases"), "case_id", "answer").select("class", S.words(F.col("text")).alias("w")).where(F.size("w") >= 5)
+    shingle = F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.array_join(F.slice("w", i, 5), "\x1f"))
+    tf = reps.select("class", F.explode(shingle).alias("t")).groupBy("class", "t").agg(F.count("*").alias("tf"))
+    return S.cosine_join(tf, "class", "t", "tf", 86, 100).select("a", "b", "dot")
 
 
 @query("""WITH w AS (SELECT case_id, regexp_extract_all(lower(answer), '[a-z0-9]+|[一-鿿]') AS w FROM (SELECT DISTINCT case_id, answer FROM grading_cases)),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import retrieval as R
 from marlstone.plans.registry import Registry, table
+from marlstone.session import keep
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -47,9 +48,9 @@ stats AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM sizes),
 asked AS (SELECT case_id, term, count(*) AS qtf FROM (SELECT case_id, unnest({terms_sql("question")}) AS term FROM cases) GROUP BY ALL),
 posts AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(terms) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM posts GROUP BY term),
-scored AS (SELECT case_id, chunk_id, sum(CAST(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * greatest(dl, 1) / avgdl)) * (1 + ln(1 + qtf)) AS DECIMAL(38,12))) AS s
+scored AS (SELECT case_id, chunk_id, sum(CAST(floor(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * greatest(dl, 1) / avgdl)) * (1 + ln(1 + qtf)) * 1e12 + 0.5) AS BIGINT)) AS s
   FROM asked JOIN posts USING (term) JOIN df USING (term) JOIN sizes USING (chunk_id), stats GROUP BY ALL),
-ranking AS (SELECT case_id, chunk_id, round(CAST(s AS DOUBLE), 6) AS score, row_number() OVER (PARTITION BY case_id ORDER BY s DESC, chunk_id) AS rank FROM scored WHERE s > 0 QUALIFY rank <= {k})"""
+ranking AS (SELECT case_id, chunk_id, round(s / 1e12, 6) AS score, row_number() OVER (PARTITION BY case_id ORDER BY s DESC, chunk_id) AS rank FROM scored WHERE s > 0 QUALIFY rank <= {k})"""
     return body + ("\nSELECT case_id, chunk_id, score, rank FROM ranking" if final else "")
 
 
@@ -172,7 +173,7 @@ _SUMMARY = """count(*) AS query_count, count(*) FILTER (answerable) AS answerabl
 
 
 def metrics(spark: SparkSession, d: str) -> DataFrame:
-    return R.per_case_metrics(cases(spark, d), ranking(spark, d), "case_id", "chunk_id", "relevant_chunk_ids", "answerable")
+    return R.per_case_metrics(cases(spark, d), keep(ranking(spark, d)), "case_id", "chunk_id", "relevant_chunk_ids", "answerable")
 
 
 @query(_METRICS + " SELECT case_id, recall, reciprocal_rank, ndcg, no_answer_correct FROM per_case")
