@@ -202,28 +202,24 @@ def near_pairs(tables: Mapping[str, tuple[DataFrame, str, str, str]], threshold:
     most = [max(COMMON_LEAST, COMMON * n) for n in texts]
     shared = spark.sparkContext.broadcast(counts)
 
+    sk, bk = [f"s{i}" for i in range(SKETCH)], [f"b{i}" for i in range(BANDS)]
+
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for tab, part in b.groupby("tab"):
                 flat, offsets = squeezed_flat(list(part["text"]))
                 fp = fingerprints(flat, offsets, int(tab))
                 out = pd.DataFrame({"tab": part["tab"], "id": part["id"], "side": part["side"], "split": part["split"], "fp": fp})
-                out["bands"] = None
-                for i in range(SKETCH):
-                    out[f"s{i}"] = np.int64(0)
                 # Copies within the batch get no bands: the first of each side stands for them.
                 out["head"] = ~out.duplicated(["fp", "side"]) & (np.diff(offsets) > 0)
                 heads = np.flatnonzero(out["head"])
                 flat, offsets2 = some_texts(flat, offsets, out["head"].to_numpy())
-                buckets = np.empty(len(out), dtype=object)
-                sk = np.zeros((len(out), SKETCH), dtype=np.int64)
+                numbers = np.zeros((len(out), SKETCH + BANDS), dtype=np.int64)
                 for where, found in grouped(flat, offsets2):
                     values = minhashes(kept(found, shared.value[int(tab)], most[int(tab)]))
-                    buckets[heads[where]] = list(bands(values, int(tab) + 1))
-                    sk[heads[where]] = sketches(values)
-                out["bands"] = buckets
-                for i in range(SKETCH):
-                    out[f"s{i}"] = sk[:, i]
+                    numbers[heads[where], :SKETCH] = sketches(values)
+                    numbers[heads[where], SKETCH:] = bands(values, int(tab) + 1)
+                out = pd.concat([out, pd.DataFrame(numbers, columns=sk + bk, index=out.index)], axis=1)
                 yield out[np.diff(offsets) > 0]
 
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -231,11 +227,11 @@ def near_pairs(tables: Mapping[str, tuple[DataFrame, str, str, str]], threshold:
             for tab, part in b.groupby("tab"):
                 yield part.assign(fp=fingerprints(*squeezed_flat(list(part["text"])), int(tab)))[["tab", "fp", "text"]]
 
-    sk = [f"s{i}" for i in range(SKETCH)]
-    schema = "tab int, id string, side int, split string, fp long, bands array<long>, " + ", ".join(f"{c} long" for c in sk) + ", head boolean"
+    # Plain columns of numbers: arrays would be converted row by row.
+    schema = "tab int, id string, side int, split string, fp long, head boolean, " + ", ".join(f"{c} long" for c in sk + bk)
     sketched = keep(rows.select("tab", "id", "text", "side", "split").mapInPandas(sketch, schema))
     heads = sketched.where("head")
-    entries = heads.select("fp", "side", F.explode("bands").alias("band"))
+    entries = heads.select("fp", "side", F.explode(F.array(*bk)).alias("band"))
     ours = entries.where("side = 2").select("band", F.col("fp").alias("e"))
     theirs = entries.where("side = 1").select("band", F.col("fp").alias("t"))
     candidates = ours.join(theirs, "band").where(F.col("e") != F.col("t")).select("e", "t").distinct()
