@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.session import keep
+
 EXACT = "decimal(38,12)"
 
 
@@ -117,3 +119,48 @@ def grid_search(observations: DataFrame, answerable: str, axes: dict[str, Sequen
     scored = rated.select(*axes, recall.alias("recall"), none.alias("no_answer_accuracy"), ((recall + none) / 2).alias("balanced"))
     key = F.struct("balanced", "recall", *(-F.col(c) for c in axes))
     return scored.where(F.col("recall") >= least_recall).agg(F.max_by(F.struct("*"), key).alias("b")).where("b is not null").select("b.*")
+
+
+def logistic_folds(rows: DataFrame, label: str, features: Sequence[str], fold: str, strengths: Sequence[float], steps: int = 25) -> DataFrame:
+    """(c, balanced_accuracy, recall, no_answer_accuracy, intercept, weights) for each inverse strength ``c`` of
+    regularisation, out of fold, with a refit on all rows. Empty without rows of both classes.
+
+    Each step of gradient descent is one aggregate by model: the few models (strengths times folds) are
+    broadcast to the rows, which stay where they are. Features are standardised, classes weigh the same."""
+    spark = rows.sparkSession
+    schema = "c double, balanced_accuracy double, recall double, no_answer_accuracy double, intercept double, weights array<double>"
+    rows = keep(rows.select(F.col(label).alias("y"), *features, F.col(fold).cast("int").alias("fold")))
+    sides = F.count(F.when(F.col("y"), 1)).alias("pos"), F.count(F.when(~F.col("y"), 1)).alias("neg")
+    m = rows.agg(*(F.avg(c).alias(f"m{i}") for i, c in enumerate(features)), *(F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(features)), *sides).first()
+    if not m["pos"] or not m["neg"]:
+        return spark.createDataFrame([], schema)
+    total = m["pos"] + m["neg"]
+    folds = sorted(r["fold"] for r in rows.select("fold").distinct().collect())  # a handful
+    models = [(c, k) for c in strengths for k in [*folds, -1]]
+    w = [[0.0] * (len(features) + 1) for _ in models]
+    x = F.array(F.lit(1.0), *((F.col(c) - F.lit(m[f"m{i}"])) / F.lit(m[f"s{i}"] or 1.0) for i, c in enumerate(features)))
+    even = F.when(F.col("y"), 0.5 / m["pos"]).otherwise(0.5 / m["neg"])
+    ready = rows.select("y", "fold", x.alias("x"), even.alias("even"))
+
+    def scored() -> DataFrame:
+        now = spark.createDataFrame([(j, k, v) for j, ((_, k), v) in enumerate(zip(models, w))], "j int, k int, w array<double>")
+        score = F.aggregate(F.zip_with("w", "x", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        return ready.crossJoin(F.broadcast(now)).withColumn("score", score)
+
+    for _ in range(steps):
+        g = F.col("even") * (F.col("y").cast("double") - 1 / (1 + F.exp(-F.col("score"))))
+        learn = scored().where("fold <> k").withColumn("g", g).groupBy("j").agg(*(F.sum(F.col("g") * F.col("x")[i]).alias(f"g{i}") for i in range(len(features) + 1)))
+        for r in learn.collect():  # a row a model
+            v = w[r["j"]]
+            decay = 1 / (models[r["j"]][0] * total)
+            w[r["j"]] = [a + 2.0 * (r[f"g{i}"] - (decay * a if i else 0.0)) for i, a in enumerate(v)]
+    right = ((F.col("score") >= 0) == F.col("y")).cast("double")
+    tested = scored().where("fold = k").groupBy("j").agg(F.sum(F.when(F.col("y"), right)).alias("a"), F.sum(F.when(~F.col("y"), right)).alias("b")).collect()
+    out = []
+    for c in strengths:
+        mine = [r for r in tested if models[r["j"]][0] == c]
+        recall, none = sum(r["a"] or 0 for r in mine) / m["pos"], sum(r["b"] or 0 for r in mine) / m["neg"]
+        full = w[models.index((c, -1))]
+        out.append((float(c), (recall + none) / 2, recall, none, full[0], full[1:]))
+    rows.unpersist()
+    return spark.createDataFrame(out, schema)

@@ -225,3 +225,76 @@ def change_detection(spark: SparkSession, d: str) -> DataFrame:
     now = table(spark, d, "documents").groupBy("source_id").agg(F.coalesce(F.max("title"), F.lit("")).alias("t"))
     before = table(spark, d, "source_registry").select("source_id", F.coalesce("title", F.lit("")).alias("t"))
     return C.changes(now, before, "source_id", "t").groupBy("status").agg(F.count("*").alias("sources"))
+
+
+_KEYED = "keyed AS (SELECT privacy_lane AS lane, normalized_text AS t, min(question_id) AS class FROM question_bank WHERE normalized_text IS NOT NULL GROUP BY ALL)"
+
+
+def _gram_sql(name: str, n: int) -> str:
+    return f"{name} AS (SELECT lane, class, unnest(CASE WHEN length(t) = 0 THEN [] WHEN length(t) <= {n} THEN [t] ELSE list_distinct(list_transform(range(1, length(t) - {n - 2}), lambda i: substring(t, i, {n}))) END) AS g FROM keyed), {name}_n AS (SELECT lane, class, count(*) AS n FROM {name} GROUP BY ALL)"
+
+
+def _pair_sql(name: str) -> str:
+    return f"{name}_p AS (SELECT a.lane, a.class AS a, b.class AS b, count(*) AS shared FROM {name} a JOIN {name} b ON a.lane = b.lane AND a.g = b.g AND a.class < b.class GROUP BY ALL)"
+
+
+def similar_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of texts of one lane with three-gram similarity of 0.82 and two-gram similarity of 0.75 or more."""
+    b = bank(spark, d).where("normalized_text is not null")
+    reps = b.groupBy("privacy_lane", F.col("normalized_text").alias("t")).agg(F.min("question_id").alias("class"))
+    # The lane is part of each token, so texts of two lanes share none.
+    tokens = F.transform(X.ngram_set(F.col("t"), 3, whole_if_short=True), lambda g: F.concat("privacy_lane", F.lit("\x1f"), g))
+    sets = reps.select(F.concat_ws("\x1f", "privacy_lane", "class").alias("k"), tokens.alias("s"))
+    pairs = S.jaccard_join(sets, "k", "s", 82, 100)
+    texts = reps.select(F.concat_ws("\x1f", "privacy_lane", "class").alias("k"), "privacy_lane", "class", "t")
+    left = texts.select(F.col("k").alias("a"), F.col("privacy_lane").alias("lane"), F.col("class").alias("class_a"), F.col("t").alias("ta"))
+    right = texts.select(F.col("k").alias("b"), F.col("class").alias("class_b"), F.col("t").alias("tb"))
+    grams = lambda c: X.ngram_set(F.col(c), 2, whole_if_short=True)
+    two = pairs.join(left, "a").join(right, "b").withColumn("token_score", X.jaccard(grams("ta"), grams("tb"), 1.0))
+    character = F.round(F.col("both") / F.col("either"), 6)
+    return two.where("token_score >= 0.75").select("lane", "class_a", "class_b", "ta", "tb", character.alias("character_score"), F.round("token_score", 6).alias("token_score"))
+
+
+@query(f"""WITH {_KEYED}, {_gram_sql("g3", 3)}, {_pair_sql("g3")}, {_gram_sql("g2", 2)}, {_pair_sql("g2")},
+near AS (SELECT p.lane, p.a, p.b, shared / (x.n + y.n - shared) AS c FROM g3_p p JOIN g3_n x ON x.lane = p.lane AND x.class = p.a JOIN g3_n y ON y.lane = p.lane AND y.class = p.b WHERE shared * 100 >= (x.n + y.n - shared) * 82)
+SELECT n.lane, n.a AS class_a, n.b AS class_b, round(c, 6) AS character_score, round(shared / (x.n + y.n - shared), 6) AS token_score
+FROM near n JOIN g2_p p ON p.lane = n.lane AND p.a = n.a AND p.b = n.b JOIN g2_n x ON x.lane = n.lane AND x.class = n.a JOIN g2_n y ON y.lane = n.lane AND y.class = n.b WHERE shared / (x.n + y.n - shared) >= 0.75""")
+def question_similarity(spark: SparkSession, d: str) -> DataFrame:
+    return similar_questions(spark, d).select("lane", "class_a", "class_b", "character_score", "token_score")
+
+
+@query()
+def matcher_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Similar questions whose longest matching blocks cover 92 % of both texts; the ratio has no SQL."""
+    p = similar_questions(spark, d).withColumn("ratio", arrow.ratio(F.col("ta"), F.col("tb")))
+    return p.where("ratio >= 0.92").select("lane", "class_a", "class_b", F.round("ratio", 9).alias("ratio"))
+
+
+@query("""WITH g AS (SELECT grp, row_number() OVER (ORDER BY sha256('two-way-1' || chr(0) || grp), grp) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT lower(trim(duplicate_group_id, E' \\t\\n\\r')) AS grp FROM question_bank WHERE duplicate_group_id IS NOT NULL))
+SELECT grp AS group_id, CASE WHEN rn <= round(n * 0.2) THEN 'test' ELSE 'dev' END AS split FROM g""")
+def two_way_split(spark: SparkSession, d: str) -> DataFrame:
+    """Duplicate groups in hash order: the first fifth tests, the rest develops."""
+    g = bank(spark, d).where("duplicate_group_id is not null").select(F.lower(F.regexp_replace("duplicate_group_id", r"^\s+|\s+$", "")).alias("group_id")).distinct()
+    ranked = C.global_rank(g.withColumn("digest", C.hash_order("two-way-1", F.col("group_id"))), "digest", "group_id")
+    n = int(ranked.count() * 0.2 + 0.5)
+    return ranked.select("group_id", F.when(F.col("rn") <= n, "test").otherwise("dev").alias("split"))
+
+
+@query(f"""WITH q AS (SELECT DISTINCT case_id, regexp_replace(lower(question), '\\s+', '', 'g') AS k, {_SPLIT} AS split, answerable, relevant_chunk_ids AS gold FROM questions WHERE split IS NOT NULL)
+SELECT 'id_in_two_splits' AS rule, count(*) AS findings FROM (SELECT case_id FROM q GROUP BY case_id HAVING count(DISTINCT split) > 1) UNION ALL
+SELECT 'same_question', count(*) FROM (SELECT k FROM q GROUP BY k HAVING count(DISTINCT case_id) > 1) UNION ALL
+SELECT 'question_in_two_splits', count(*) FROM (SELECT k FROM q GROUP BY k HAVING count(DISTINCT split) > 1) UNION ALL
+SELECT 'both_answerable_and_not', count(*) FROM (SELECT k FROM q GROUP BY k HAVING count(DISTINCT answerable) > 1) UNION ALL
+SELECT 'same_gold', count(*) FROM (SELECT 1 FROM q WHERE answerable GROUP BY array_to_string(list_sort(gold), '|') HAVING count(DISTINCT case_id) > 1)""")
+def identity_checks(spark: SparkSession, d: str) -> DataFrame:
+    s = F.lower(F.regexp_replace("split", r"^\s+|\s+$", ""))
+    q = table(spark, d, "questions").where("split is not null").select("case_id", F.regexp_replace(F.lower("question"), r"\s+", "").alias("k"), s.alias("split"), "answerable", F.array_join(F.array_sort("relevant_chunk_ids"), "|").alias("gold")).distinct()
+    rules = {
+        "id_in_two_splits": (q, "case_id", "split"), "same_question": (q, "k", "case_id"), "question_in_two_splits": (q, "k", "split"),
+        "both_answerable_and_not": (q, "k", "answerable"), "same_gold": (q.where("answerable"), "gold", "case_id"),
+    }
+    out = None
+    for name, (rows, key, of) in rules.items():
+        found = rows.groupBy(key).agg(F.countDistinct(of).alias("n")).where("n > 1").agg(F.lit(name).alias("rule"), F.count("*").alias("findings"))
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -211,3 +211,23 @@ def test_upserts(spark):
 def test_stable_id_counts_nulls_as_empty(spark):
     df = spark.createDataFrame([("a", None), ("a", "")], "x string, y string")
     assert len({r[0] for r in df.select(X.stable_id("p_", F.col("x"), F.col("y"))).collect()}) == 1
+
+
+def test_logistic_folds(spark):
+    rng = random.Random(9)
+    rows = []
+    for _ in range(300):
+        y = rng.random() < 0.4
+        rows.append((y, rng.gauss(1.5 if y else 0, 1), rng.gauss(0, 1), rng.randrange(3)))
+    df = spark.createDataFrame(rows, "y boolean, a double, b double, fold int")
+    got = {r["c"]: r for r in M.logistic_folds(df, "y", ["a", "b"], "fold", [0.1, 10.0]).collect()}
+    assert all(0.7 < r["balanced_accuracy"] < 0.9 and r["weights"][0] > abs(r["weights"][1]) for r in got.values())
+    assert M.logistic_folds(df.where("y"), "y", ["a", "b"], "fold", [1.0]).count() == 0
+
+
+def test_group_split_two_ways_and_handshake(spark):
+    df = spark.createDataFrame([("https://a", "text", 10), ("https://b", "text", 10), ("https://a", "odd", 10), ("https://a", "text", 9999), (None, None, None)], "o string, m string, n int")
+    got = [r[0] for r in df.select(P.handshake(F.col("o"), F.col("m"), F.col("n"), ["https://a"], ["text"], 100)).collect()]
+    assert got == ["ok", "origin_not_allowed", "unsupported_mode", "message_too_large", "origin_not_allowed"]
+    safe = spark.createDataFrame([({"Token": "abc", "path": "x"},)], "f map<string,string>").select(P.safe_fields(F.col("f")).alias("f")).first()["f"]
+    assert safe["path"] == "x" and "abc" not in safe["Token"]
