@@ -3,10 +3,10 @@
 Texts are squeezed (form does not count) and cut into character shingles: five Han characters, or twelve
 others. Shingles that occur in more than ``COMMON`` of all texts of their table are the frames that texts
 share anyhow and are left out, so that similarity is that of the content; their frequencies are counted
-over all rows in a sketch of fixed size. Minwise hashes of the rest are banded into buckets, only pairs
+over all rows in a sketch of fixed size, where a group of near copies counts about once. Minwise hashes of the rest are banded into buckets, only pairs
 across the split are kept, and each is verified by the exact Jaccard similarity of its shingles.
 
-Sizes: what is broadcast is the sketch (fixed size) and the few texts that hold over a thousandth of the
+Sizes: what is broadcast is the sketches (fixed size) and the few texts that hold over a thousandth of the
 rows each (at most a thousand). Copies of one text are one entry of a bucket. No pair within a side and no
 pair of exact copies goes through the buckets.
 """
@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ from marlstone.session import cut_table, keep
 GRAM_HAN, GRAM_OTHER = 5, 12
 #: Shingles in more than this share of the texts (and in more than COMMON_LEAST texts) are frames.
 COMMON, COMMON_LEAST = 0.01, 20
+#: A text with more than this share of its shingles in over NEAR_COMMON of ``most`` texts is one of many near copies.
+GROUP_SHARE, NEAR_COMMON = 0.6, 0.5
 #: If fewer than this share of a text's shingles are no frames, its rarest up to this share are kept.
 LEAST_KEPT = 0.5
 BANDS, ROWS = 14, 3
@@ -85,6 +88,18 @@ def kept(found: Shingled, counts: np.ndarray, most: float) -> Shingled:
     return Shingled(found.hashes[rare], np.concatenate(([0], np.cumsum(left))))
 
 
+def group_weights(found: Shingled, counts: np.ndarray, most: float) -> np.ndarray:
+    """One over the number of near copies of each text, 1 where frames alone are common. All but the rarest
+    1 - GROUP_SHARE of the shingles of a near copy are in about all of its group, and in no other way can
+    that much of a text be common."""
+    df = counts[(found.hashes & np.uint64(BUCKETS - 1)).astype(np.int64)]
+    sizes = np.diff(found.offsets)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.lexsort((df, owner))
+    shared = df[at][found.offsets[:-1] + np.floor((1 - GROUP_SHARE) * sizes).astype(np.int64)]
+    return np.where(shared > NEAR_COMMON * most, 1 / np.maximum(shared, 1), 1.0)
+
+
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
@@ -148,9 +163,10 @@ def split_rows(tables: Mapping[str, tuple[DataFrame, str, str, str]]) -> DataFra
     return out
 
 
-def shingle_counts(rows: DataFrame, tables: int) -> tuple[list[np.ndarray], list[int]]:
+def shingle_counts(rows: DataFrame, tables: int) -> tuple[list[np.ndarray], list[float]]:
     """For each table the number of texts by shingle bucket, and the number of texts. A text that holds
-    over a thousandth of the rows counts once."""
+    over a thousandth of the rows counts once, and so does about a group of near copies: a first count
+    tells which texts are near copies of many (``group_weights``), the second weighs them."""
     hot_share = 0.001
     by_text = rows.groupBy("tab", F.xxhash64("text").alias("h")).agg(F.count("*").alias("n"))
     sized = keep(by_text)
@@ -160,17 +176,35 @@ def shingle_counts(rows: DataFrame, tables: int) -> tuple[list[np.ndarray], list
         least = F.when(F.col("tab") == t, F.lit(max(100.0, hot_share * n))).otherwise(least)
     hot = {(r["tab"], r["h"]): r["n"] for r in sized.where(F.col("n") > least).collect()}  # at most 1/hot_share a table
     sized.unpersist()
-    known = rows.sparkSession.sparkContext.broadcast(hot)
+    spark = rows.sparkSession
+    known = spark.sparkContext.broadcast(hot)
+    texts = [float(totals.get(i, (0, 0))[1]) for i in range(tables)]
+    raw, _ = _weighted_counts(rows, tables, known, None, texts)
+    counts, shares = _weighted_counts(rows, tables, known, spark.sparkContext.broadcast(raw), texts)
+    return counts, [n * share for n, share in zip(texts, shares)]
+
+
+def frame_limit(texts: float) -> float:
+    return max(COMMON_LEAST, COMMON * texts)
+
+
+def _weighted_counts(rows: DataFrame, tables: int, known: Broadcast, before: Broadcast | None, texts: list[float]) -> tuple[list[np.ndarray], list[float]]:
+    """Counts by shingle bucket, near copies weighed by the counts ``before``, and the share of the weight that is left."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mine, sums = known.value, {}
         for b in batches:
             for tab, part in b.groupby("tab"):
-                weights = np.array([1.0 / mine.get((int(tab), int(h)), 1) for h in part["h"]])
+                tab = int(tab)
+                weights = np.array([1.0 / mine.get((tab, int(h)), 1) for h in part["h"]])
+                total = sums.setdefault(tab, np.zeros(BUCKETS + CHUNK))  # the last chunk: weights before and after
                 for where, found in grouped(*squeezed_flat(list(part["text"]))):
-                    w = np.repeat(weights[where], np.diff(found.offsets))
-                    got = np.bincount((found.hashes & np.uint64(BUCKETS - 1)).astype(np.int64), weights=w, minlength=BUCKETS)
-                    sums[int(tab)] = sums.get(int(tab), 0) + got
+                    w = weights[where]
+                    total[BUCKETS] += w.sum()
+                    if before is not None:
+                        w = w * group_weights(found, before.value[tab], frame_limit(texts[tab]))
+                    total[BUCKETS + 1] += w.sum()
+                    total[:BUCKETS] += np.bincount((found.hashes & np.uint64(BUCKETS - 1)).astype(np.int64), weights=np.repeat(w, np.diff(found.offsets)), minlength=BUCKETS)
         for tab, got in sums.items():
             parts = got.astype(np.float32).reshape(-1, CHUNK)
             yield pd.DataFrame({"tab": tab, "chunk": range(len(parts)), "counts": [p.tobytes() for p in parts]})
@@ -183,10 +217,10 @@ def shingle_counts(rows: DataFrame, tables: int) -> tuple[list[np.ndarray], list
 
     schema = "tab int, chunk int, counts binary"
     pieces = rows.select("tab", "text", F.xxhash64("text").alias("h")).mapInPandas(count, schema)
-    counts = [np.zeros(BUCKETS, dtype=np.float32) for _ in range(tables)]
+    counts = [np.zeros(BUCKETS + CHUNK, dtype=np.float32) for _ in range(tables)]
     for r in pieces.groupBy("tab", "chunk").applyInPandas(add, schema).collect():  # BUCKETS numbers a table
         counts[r["tab"]][r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], dtype=np.float32)
-    return counts, [totals.get(i, (0, 0))[1] for i in range(tables)]
+    return [c[:BUCKETS] for c in counts], [float(c[BUCKETS + 1] / c[BUCKETS]) if c[BUCKETS] else 1.0 for c in counts]
 
 
 def near_pairs(tables: Mapping[str, tuple[DataFrame, str, str, str]], threshold: float = THRESHOLD) -> DataFrame:
@@ -199,7 +233,7 @@ def near_pairs(tables: Mapping[str, tuple[DataFrame, str, str, str]], threshold:
     rows = split_rows(tables)
     spark = rows.sparkSession
     counts, texts = shingle_counts(rows, len(names))
-    most = [max(COMMON_LEAST, COMMON * n) for n in texts]
+    most = [frame_limit(n) for n in texts]
     shared = spark.sparkContext.broadcast(counts)
 
     sk, bk = [f"s{i}" for i in range(SKETCH)], [f"b{i}" for i in range(BANDS)]

@@ -56,6 +56,25 @@ def test_copies_of_one_text_and_repeats(spark):
     assert got == {(h, e) for h in hot for e in ("e1", "e2")}
 
 
+def test_a_group_of_near_copies_is_no_frame(spark):
+    t, words = texts(600, 5)
+    rng = random.Random(6)
+
+    def edited(x):
+        parts = x.split("，请以")
+        for k in rng.sample(range(1, 11), 2):
+            parts[k] = rng.choice(words)
+        return "，请以".join(parts)
+
+    group = [edited(t[0]) for _ in range(300)]
+    rows = [(f"t{i}", x, "train") for i, x in enumerate(t[1:])] + [(f"g{i}", x, "train") for i, x in enumerate(group)] + [("e0", t[0], "dev")]
+    flat = lambda x: set(O.grouped(*common.squeezed_flat([x]))[0][1].hashes.tolist())
+    base = flat(t[0])
+    want = {(f"g{i}", "e0") for i, x in enumerate(group) if len(base & flat(x)) >= 0.55 * len(base | flat(x))}
+    got = found(spark, rows)
+    assert len(want) > 200 and len(want & got) >= 0.93 * len(want) and all(g.startswith("g") for g, _ in got)
+
+
 def test_empty_and_short(spark):
     assert found(spark, [("a", "短", "train"), ("b", "短。", "dev")]) == {("a", "b")}
     empty = spark.createDataFrame([], SCHEMA)
