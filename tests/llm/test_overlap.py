@@ -91,6 +91,18 @@ def test_minhash_estimates_jaccard():
     assert abs((m[0] == m[1]).mean() - j) < 0.25 and abs(j - 0.5) < 1e-9
 
 
+def test_pairs_at_the_threshold_share_a_band_and_pass_the_sketch():
+    rng = np.random.default_rng(4)
+    n, shared, own = 400, 64, 36  # Jaccard 64 / 136 = 0.47
+    lost = []
+    for _ in range(n):
+        both, a, b = (rng.integers(0, 2**63, k, dtype=np.uint64) for k in (shared, own, own))
+        m = O.minhashes(O.Shingled(np.concatenate([both, a, both, b]), np.array([0, shared + own, 2 * (shared + own)])))
+        bands, sketches = O.bands(m, 1), O.sketches(m).view(np.uint8)
+        lost.append(not (bands[0] == bands[1]).any() or (sketches[0] == sketches[1]).mean() < O.LEAST_AGREE)
+    assert np.mean(lost) < 0.04
+
+
 def test_flat_squeeze_equals_plain():
     samples = ["Ａb，C１ ​你好－_é", "école ΣΑΣ", "", "İx", "😀a字", "ﬁ①²", "한글"]
     flat, offsets = common.squeezed_flat(samples)
