@@ -8,18 +8,23 @@ record) goes through the SHA-256 of the raw text, so no text is shuffled twice a
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import FULL, HALF, squeeze, squeezed_column
+from marlstone.llm.common import FULL, HALF, squeezed_column
 from marlstone.session import cut_table
 
 #: Separators of the canonical form of a JSON object; squeezed texts contain none of them.
 FIELD, VALUE, ITEM, NULL = "\x1e", "\x1f", "\x1d", "\x1c"
-_DROP_BUT_ITEM = r"[[\p{P}\p{Z}\p{C}\s]&&[^\x1d]]+"
+#: Types of values that need no walk.
+_SCALAR = r"(?:STRING|VOID|BOOLEAN|BIGINT|DOUBLE|DECIMAL\([0-9, ]*\))"
+_EDGES = re.compile(r"^[\s\x00-\x1f\x7f-\x9f\xad\u061c\u180e\u200b-\u200f\u2028-\u202e\u2060-\u206f\ufeff]+|[\s\x00-\x1f\x7f-\x9f\xad\u061c\u180e\u200b-\u200f\u2028-\u202e\u2060-\u206f\ufeff]+$")
+_WIDTH = {ord(f): h for f, h in zip(FULL, HALF)}
 
 
 def canonical_text(col: Column) -> Column:
@@ -30,43 +35,53 @@ def canonical_text(col: Column) -> Column:
 def canonical_object(col: Column) -> Column:
     """A JSON object with its fields in order and each name and value as canonical text, JVM-side.
 
-    Values may be scalars or arrays of scalars (items keep their borders); an object inside a value, text
-    that is no JSON object, and null are left to the caller: the result is null there."""
+    Values may be scalars or arrays of scalars of one type (items keep their borders), told apart by their
+    JSON type; an object or array inside a value, text that is no JSON object, and null are left to the
+    caller: the result is null there."""
+    col = F.regexp_replace(col, r"^[\p{Z}\p{C}\s]+|[\p{Z}\p{C}\s]+$", "")
     fields = F.from_json(col, "map<string,string>")
+    kinds = F.transform_values(F.try_parse_json(col).try_cast("map<string,variant>"), lambda _, v: F.coalesce(F.schema_of_variant(v), F.lit("VOID")))
 
-    def value(v: Column) -> Column:
-        # Arrays come as compact JSON: borders between strings are quotes that are not escaped.
-        items = F.regexp_replace(F.regexp_replace(v, r"\\\\(?:[\"\\\\/bfnrt])", " "), r"\"\s*,\s*\"", ITEM)
-        kept = F.regexp_replace(F.lower(F.translate(items, FULL, HALF)), _DROP_BUT_ITEM, "")
-        return F.when(v.isNull(), F.lit(NULL)).when(v.startswith("["), F.concat(F.lit("["), kept)).otherwise(canonical_text(v))
+    def value(kind: Column, v: Column) -> Column:
+        items = F.transform(F.from_json(v, "array<string>"), lambda x: F.coalesce(canonical_text(x), F.lit(NULL)))
+        return F.when(v.isNull(), F.lit(NULL)).when(kind.startswith("ARRAY<"), F.concat(F.lit("["), F.array_join(items, ITEM))).otherwise(canonical_text(v))
 
     pairs = F.array_sort(
-        F.transform(F.map_entries(fields), lambda e: F.concat(canonical_text(e["key"]), F.lit(VALUE), value(e["value"])))
+        F.transform(F.map_entries(fields), lambda e: F.concat(canonical_text(e["key"]), F.lit(VALUE), value(F.try_element_at(kinds, e["key"]), e["value"])))
     )
-    nested = F.exists(F.map_values(fields), lambda v: F.coalesce(v, F.lit("")).rlike(r"^\s*\{|^\s*\[[^\"]*[\[{]|[\]}\"]\s*,\s*[\[{]"))
-    return F.when(fields.isNull() | (F.size(fields) == 0) | nested, F.lit(None)).otherwise(F.array_join(pairs, FIELD))
+    flat = F.forall(F.map_values(kinds), lambda k: k.rlike(f"^(?:{_SCALAR}|ARRAY<{_SCALAR}>)$"))
+    return F.when(F.coalesce(flat, F.lit(False)) & (F.size(fields) > 0), F.array_join(pairs, FIELD))
+
+
+def canonical_plain(text: str) -> str:
+    """``canonical_text`` in Python."""
+    return "".join(c for c in text.translate(_WIDTH).lower() if unicodedata.category(c)[0] not in "PZC")
 
 
 def canonical_json(text: str | None) -> str | None:
-    """The general form in Python: nested objects with their fields in order; other text as plain text."""
+    """The general form in Python: nested objects with their fields in order; other text as plain text. Objects
+    without nested values get the form of ``canonical_object``."""
     if text is None:
         return None
     try:
-        found = json.loads(text)
+        found = json.loads(_EDGES.sub("", text))
     except (ValueError, RecursionError):
-        return squeeze(text)
+        return canonical_plain(text)
+
+    def fields(x: dict) -> str:
+        return FIELD.join(sorted(canonical_plain(k) + VALUE + walk(v) for k, v in x.items()))
 
     def walk(x: object) -> str:
         if isinstance(x, dict):
-            return "{" + FIELD.join(sorted(squeeze(str(k)) + VALUE + walk(v) for k, v in x.items())) + "}"
+            return "{" + fields(x) + "}"
         if isinstance(x, list):
-            return "[" + ITEM.join(map(walk, x)) + "]"
-        return NULL if x is None else squeeze(x) if isinstance(x, str) else squeeze(json.dumps(x))
+            return "[" + ITEM.join("[" + walk(i) + "]" if isinstance(i, list) else walk(i) for i in x)
+        return NULL if x is None else canonical_plain(x if isinstance(x, str) else json.dumps(x))
 
     try:
-        return "obj" + walk(found) if isinstance(found, (dict, list)) else squeeze(text)
+        return fields(found) or "{}" if isinstance(found, dict) else walk(found) if isinstance(found, list) else canonical_plain(text)
     except RecursionError:
-        return squeeze(text)
+        return canonical_plain(text)
 
 
 @F.pandas_udf(T.StringType())
@@ -87,7 +102,7 @@ def canonical_forms(df: DataFrame, key: str, text: str, as_json: bool = False) -
         return raw.select("h", canonical_text(F.col("raw")).alias("canonical"), "copies", "k0", "k1")
     flat = raw.withColumn("canonical", canonical_object(F.col("raw")))
     simple = flat.where(F.col("canonical").isNotNull()).drop("raw")
-    # Objects within objects and text that is no JSON need a walk; most payloads never get there.
+    # Values within values and text that is no JSON need a walk; most payloads never get there.
     other = flat.where(F.col("canonical").isNull()).withColumn("canonical", _canonical_json("raw")).drop("raw")
     return simple.select("h", "canonical", "copies", "k0", "k1").unionByName(other.select("h", "canonical", "copies", "k0", "k1"))
 

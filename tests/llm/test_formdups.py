@@ -25,6 +25,23 @@ def test_json_forms(spark):
     assert {tuple(r) for r in D.copy_pairs(df, "id", "t", as_json=True).collect()} == {("1", "2"), ("1", "3"), ("7", "8"), ("10", "9"), ("11", "12")}
 
 
+def test_json_values_are_told_by_type(spark):
+    values = {
+        "a": "[note] text", "b": "【note】 text", "c": " [note] text", "d": "[S1][S2] so", "e": "(S1)(S2) so", "f": "\u200b[S1][S2] so", "g": '["x","y"]', "h": "x y",
+        "i": ["x\ny", "b"], "j": ["x y", "b"], "k": ["xny", "b"], "l": ["x\\ny", 'b"'], "m": [1, 2], "n": [12], "o": ["+1", None], "p": ["＋1", None], "q": ["+1"], "r": {"z": ["C++"]}, "s": {"z": ["c"]}, "t": {"Z": ["ｃ＋＋ "]},
+        "u": [[1], 2], "v": [[1, 2]],
+    }
+    rows = [(k, json.dumps({"q": v, "n": 1})) for k, v in values.items()] + [("w", "\ufeff " + json.dumps({"n": 1, "Q": "note-text"}, indent=1))]
+    got = {tuple(r) for r in D.copy_pairs(spark.createDataFrame(rows, "id string, t string"), "id", "t", as_json=True).collect()}
+    assert got == {("a", "b"), ("a", "c"), ("a", "w"), ("d", "e"), ("d", "f"), ("g", "h"), ("i", "j"), ("k", "l"), ("o", "p"), ("r", "t")}
+
+
+def test_json_forms_agree_between_jvm_and_python(spark):
+    texts = [json.dumps(x) for x in ({"a": "[b] C++ Ａ", "B": ["x\ty", "＋", None, ""], "n": None, "e": []}, {"k": True, "l": [1, 2], "m": -3}, {"x": "“ﬁ①²”"})]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(D.canonical_object(df["t"])).collect()] == [D.canonical_json(t) for t in texts]
+
+
 def test_hot_record(spark):
     rng = random.Random(1)
     rows = [(f"k{i:04d}", "".join(c + rng.choice(["", " ", "，"]) for c in "甲乙丙丁戊己庚") if i % 3 == 0 else f"t{i}") for i in range(600)]
