@@ -1,8 +1,8 @@
 """Problem 9: pages of repeated keywords, bare links or product tags instead of sentences.
 
 Words are Han characters, words of other letters, and one word each for a link, a hash tag and a number.
-Counts of words and of neighbouring pairs over the whole corpus, held in count sketches of fixed size, give
-each page
+Counts of words and of neighbouring pairs over the corpus, each text once up to form, held in count sketches
+of fixed size, give each page
 
 - ``pmi``: the mean pointwise mutual information of its neighbouring words, low for word salad;
 - ``repeated``: the share of its pairs that occur three times or more in it, and ``burst``: how far these
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import mix64
+from marlstone.llm.common import mix64, squeezed_column
 
 #: Thresholds: of burst times repeated share, of links and tags among words, of mean PMI; least words of a page.
 LEAST_REPETITION, LEAST_LINKS, LEAST_PMI, LEAST_WORDS = 1.7, 0.125, 0.5, 12
@@ -96,6 +96,11 @@ def estimate(sketch: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.minimum.reduce([sketch[r][_cell(h, r, sketch.shape[1])] for r in range(DEPTH)])
 
 
+def distinct_texts(texts: DataFrame) -> DataFrame:
+    """One text ``t`` of each set of copies up to form, so that copies are not the corpus they are compared with."""
+    return texts.where("t is not null").groupBy(F.xxhash64(squeezed_column(F.col("t"))).alias("h")).agg(F.min("t").alias("t")).select("t")
+
+
 def corpus_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, float, float]:
     """Sketches of the word and of the pair counts over the column ``t``, and the totals."""
     sizes = {"w": WORD_CELLS, "p": PAIR_CELLS}
@@ -171,7 +176,7 @@ def score_pages(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     pages of fewer than LEAST_WORDS words; texts are read whole; repeated rows stay; extra columns are
     ignored; an empty table gives an empty one."""
     rows = df.select(F.col(key).alias("d"), F.col(text).cast("string").alias("t"))
-    shared = df.sparkSession.sparkContext.broadcast(corpus_counts(rows.select("t")))
+    shared = df.sparkSession.sparkContext.broadcast(corpus_counts(distinct_texts(rows.select("t"))))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _Hashes()

@@ -45,6 +45,19 @@ def test_word_salad(spark):
     assert {r["doc_id"] for r in got.collect()} == {1000, 1001, 1002}
 
 
+def test_copies_are_not_the_corpus(spark):
+    rng = random.Random(4)
+    kw = ["保研资料", "复试真题", "简历优化", "导师套磁"]
+    good = [(i, "".join(rng.sample(SENTENCES, 6))) for i in range(150)]
+    own = "某校夏令营名额有限先到先得，往年学员分布各地欢迎比较，报价随季节浮动请勿转载。"
+    page = own + "，".join(rng.choice(kw) for _ in range(18))
+    copies = [(1000 + i, page if i % 2 else page.replace("，", ", ")) for i in range(150)]
+    got = {r["doc_id"]: r for r in spam.score_pages(spark.createDataFrame(good + copies, "doc_id bigint, text string")).collect()}
+    alone = {r["doc_id"]: r for r in spam.score_pages(spark.createDataFrame(good + copies[:1], "doc_id bigint, text string")).collect()}
+    assert 0.45 <= alone[1000]["repeated"] < 0.75 and alone[1000]["reason"] == "repetition"
+    assert {d for d, r in got.items() if r["spam"]} == {d for d, _ in copies}
+
+
 def test_empty_and_long(spark):
     df = spark.createDataFrame([(1, "字词句" * 100_000)], "doc_id bigint, text string")
     assert spam.spam_pages(df.limit(0)).count() == 0
