@@ -257,8 +257,12 @@ def fit(texts: list[str], pull: float = 0.05, steps: int = 120, rate: float = 0.
 
 def may_hold(text: Column) -> Column:
     """Whether a text can hold a candidate at all; JVM-side, without misses of ``candidates``."""
+    # As in ``candidates`` widths are folded; each part is wider than its shape.
+    text = F.translate(text, FULL, HALF)
+    blank = r"[\s\p{Z}\x1c-\x1f\x85]*"
     patterns = (
-        r"[0-9０-９][0-9０-９ .()+\-－（）]{6,}[0-9０-９]|[@＠]|[\[(（{] ?at ?[\])）}]|\w\s+(?i:at)\s+\S|[道路街巷同弄]\s*[0-9０-９]+\s*号|[0-9０-９] [A-Z][\w'-]+ |[A-Z][a-z'’-]+(?: [A-Z]\.)? [A-Z][a-z]|[A-Z]{1,3}[0-9０-９]{4}"
+        r"\p{Nd}[\p{Nd} .()+\-]{6,}\p{Nd}|@|[\[({] ?(?i:at) ?[\])}]|\w\s+(?i:at)\s+\S|[道路街巷同弄]" + blank + r"\p{Nd}+" + blank
+        + r"号|\p{Nd} [A-Z][^ ]+ |[A-Z][a-z'’-]+(?: [A-Z]\.)? [A-Z][a-z'’]|[A-Z]{1,3}\p{Nd}{4}"
     )
     names = f"姓名|申请人|联系人|推荐人|报名人|考生|签名|署名|作者|我叫|我的名字|名叫|本人|我是|(?:由|换成|感谢|多亏|我和|我跟|我与|联系|请教|找到|交给|委托)(?:{COMPOUND}|[{SURNAMES}])|[（(](?:组长|队长|导师|老师|同学|学生|助教|负责人|男|女)[）)]|同学(?:负责|说|提出|完成)|老师(?:当时|说|指导)"
     return text.rlike(patterns) | text.rlike(names)

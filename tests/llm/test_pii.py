@@ -67,3 +67,13 @@ def test_tables(spark):
 def test_prefilter_misses_nothing(spark):
     df = spark.createDataFrame([(t,) for t in CASES], "t string")
     assert df.where(pii.may_hold(df["t"])).count() == len(CASES)
+
+
+def test_the_prefilter_is_wider_than_the_shapes(spark):
+    texts = ["zhang(AT)example.com", "zhang［at］example.com", "zhang｛At｝example.com", "ｚｈａｎｇ（ａｔ）ｅｘａｍｐｌｅ．ｃｏｍ", "zhang AT example.com", "他住在和平路　１２　号", "thanks to Mary O'brien"]
+    assert all(pii.candidates(t) for t in texts)
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r["t"] for r in df.where(~pii.may_hold(df["t"])).collect()] == []
+    emails = df.where("t like 'zhang%'")
+    assert {r["redacted"] for r in pii.redacted(emails, "t", weights=pii.PRIOR).collect()} == {"<EMAIL>"}
+    assert pii.personal_details(emails, "t", "t", pii.PRIOR).where("kind = 'email'").count() == 4
