@@ -6,6 +6,7 @@ Each has a plain function for a single text, which the tests use, and a UDF buil
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterable
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -157,6 +158,16 @@ def matcher_ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
+def counted_bigrams(text: str) -> list[str]:
+    """Pairs of neighbouring characters, both ends included, each with its number among its equals."""
+    seen: Counter[str] = Counter()
+    out = []
+    for a, b in zip("\x02" + text, text + "\x03"):
+        seen[a + b] += 1
+        out.append(f"{a}{b}{seen[a + b]}")
+    return out
+
+
 fold = udf_of(folded, T.StringType())
 fold_tight = udf_of(folded_tight, T.StringType())
 tokens = udf_of(leakage_tokens, STRINGS)
@@ -164,6 +175,7 @@ supported = udf_of(script_supported, T.BooleanType())
 template = udf_of(template_canonical, T.StringType())
 semantic = udf_of(semantic_units, STRINGS)
 ratio = udf_of(matcher_ratio, T.DoubleType())
+bigrams = udf_of(counted_bigrams, STRINGS)
 
 
 def chunks(col: Column, size: int = 800, overlap: int = 120) -> Column:

@@ -263,11 +263,24 @@ def question_similarity(spark: SparkSession, d: str) -> DataFrame:
     return similar_questions(spark, d).select("lane", "class_a", "class_b", "character_score", "token_score")
 
 
+def matched_pairs(texts: DataFrame) -> DataFrame:
+    """(a, b, ratio): keys a < b of ``texts`` (k, t) whose sequence-matcher ratio is 0.92 or more, over all pairs.
+
+    With u characters unmatched there are at most u + 1 blocks, so of the n and m bigrams (ends included) at
+    least 0.38 (n + m) are shared: a Jaccard similarity of 19/31, by which candidates are joined exactly."""
+    pairs = S.jaccard_join(texts.select("k", arrow.bigrams(F.col("t")).alias("s")), "k", "s", 19, 31).select("a", "b")
+    both = pairs.join(texts.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b")
+    return both.withColumn("ratio", arrow.ratio(F.col("ta"), F.col("tb"))).where("ratio >= 0.92").select("a", "b", "ratio")
+
+
 @query()
 def matcher_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Similar questions whose longest matching blocks cover 92 % of both texts; the ratio has no SQL."""
-    p = similar_questions(spark, d).withColumn("ratio", arrow.ratio(F.col("ta"), F.col("tb")))
-    return p.where("ratio >= 0.92").select("lane", "class_a", "class_b", F.round("ratio", 9).alias("ratio"))
+    """Questions of any lanes whose longest matching blocks cover 92 % of both texts; the ratio has no SQL."""
+    b = bank(spark, d).where("normalized_text is not null")
+    reps = b.groupBy("privacy_lane", F.col("normalized_text").alias("t")).agg(F.min("question_id").alias("class"))
+    keyed = reps.select(F.concat_ws("\x1f", "privacy_lane", "class").alias("k"), "t")
+    part = lambda c, i: F.split(F.col(c), "\x1f")[i]
+    return matched_pairs(keyed).select(part("a", 0).alias("lane"), part("b", 0).alias("lane_b"), part("a", 1).alias("class_a"), part("b", 1).alias("class_b"), F.round("ratio", 9).alias("ratio"))
 
 
 @query("""WITH g AS (SELECT grp, row_number() OVER (ORDER BY sha256('two-way-1' || chr(0) || grp), grp) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT lower(trim(duplicate_group_id, E' \\t\\n\\r')) AS grp FROM question_bank WHERE duplicate_group_id IS NOT NULL))

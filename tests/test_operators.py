@@ -231,3 +231,22 @@ def test_group_split_two_ways_and_handshake(spark):
     assert got == ["ok", "origin_not_allowed", "unsupported_mode", "message_too_large", "origin_not_allowed"]
     safe = spark.createDataFrame([({"Token": "abc", "path": "x"},)], "f map<string,string>").select(P.safe_fields(F.col("f")).alias("f")).first()["f"]
     assert safe["path"] == "x" and "abc" not in safe["Token"]
+
+
+def test_matched_pairs_equal_brute_force(spark):
+    from marlstone.functions.arrow import matcher_ratio
+    from marlstone.plans.curation import matched_pairs
+
+    rng = random.Random(8)
+    rows = [("", "k0"), ("", "k1"), ("ab", "k2"), ("ab", "k3")]
+    for i in range(30):
+        base = [rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(50 if i else 25)]
+        for j in range(3):
+            x = list(base)
+            for at in rng.sample(range(len(x)), rng.randint(0, 4)):
+                x[at] = rng.choice(["", "#", x[at] * 2])
+            rows.append(("".join(x), f"t{i:02d}{j}"))
+    want = {(a, b) for t, a in rows for u, b in rows if a < b and matcher_ratio(t, u) >= 0.92}
+    got = {(r["a"], r["b"]) for r in matched_pairs(spark.createDataFrame(rows, "t string, k string")).collect()}
+    # Three scattered replacements in fifty characters leave three-gram similarity far below 0.82.
+    assert got == want and len(want) > 30
