@@ -2,15 +2,16 @@
 
 Copies of the question are found by compressing each answer with its question as a raw zstandard
 dictionary; languages and refusals by dictionaries; answers that stop early by a terminal-context
-model, which compares how far back the end of an answer agrees with known sentence ends and how far
-with known places inside sentences.
+model, the log odds of the contexts around the end of an answer at sentence ends against places inside
+sentences, and by points that are announced and missing.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -18,12 +19,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import code_points, gram_hashes, gram_starts, squeeze
+from marlstone.llm.common import squeeze
 
 #: Bounds of the sample that the terminal-context model is fitted on: rows, and characters of a row.
 SAMPLE_ROWS, SAMPLE_CHARS = 3000, 2000
-#: An answer is looked at as a copy if the question as dictionary leaves at most this share of its size.
-COPY_RATIO = 0.55
+#: An answer is looked at as a copy if the question as dictionary leaves at most this share of its size, or so many bytes.
+COPY_RATIO, COPY_REST = 0.55, 24
+#: Cells of the hashed contexts; least log odds that a text without a stop may end where it does.
+CONTEXTS, LEAST_ODDS = 1 << 18, 0.0
 
 # Markers, labels and placeholders.
 CITATION = re.compile(r"[\[【(]\s*[Ss]\s*\d+\s*[\]】)]")
@@ -83,17 +86,31 @@ ASKED = re.compile(
 
 _OPEN, _CLOSE = "(（[【“「『《", ")）]】”」』》"
 _TERMINAL = re.compile(r"[。．.!?！？…~～♪][\"'”’)）\]】」』》]*$")
+_ELLIPSIS = re.compile(r"\s*(?:…+|\.{3,}|。{3,})[\"'”’)）\]】」』》]*$")
 _HANGING = re.compile(r"[,，、;；:：(（\[【“「『《\-—–/]$")
 _HAN = re.compile(r"[㐀-鿿]")
 _KANA = re.compile(r"[぀-ヿ]")
 _HANGUL = re.compile(r"[가-힯]")
 _CYRILLIC = re.compile(r"[Ѐ-ӿ]")
 _ARABIC = re.compile(r"[؀-ۿ]")
+_OTHER_SCRIPT = re.compile(r"[가-힯Ѐ-ӿ؀-ۿ]")
 _LATIN = re.compile(r"[a-zà-öø-ÿāēīōū']+", re.I)
 _SENTENCE = re.compile(r"[^。！？!?\n]*?(?:[。！？!?\n]|\.(?=\s|$))")
 _CLAUSE = re.compile(r"[，。,.;；!！?？:：\n]+")
 
-LENGTHS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24)
+_STOP = re.compile(r"[。．.!?！？…]+[\"'”’)）\]】」』》]*$")
+_SENTENCE_END = re.compile(r"[。！？!?\n]+[\"'”’)）\]】」』》]*|\.(?=\s|$)")
+# Numerals of announced points, and the ordinals that count them.
+NUMERALS = {"两": 2, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9, "十": 10, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10}
+ORDINALS_ZH, ORDINALS_EN = "一二三四五六七八九十", "first second third fourth fifth sixth seventh eighth ninth tenth".split()
+_ORDINALS = {f"第{c}": i for i, c in enumerate(ORDINALS_ZH, 1)} | {w: i for i, w in enumerate(ORDINALS_EN, 1)} | {w + "ly": i for i, w in enumerate(ORDINALS_EN, 1)}
+_ORDINAL = re.compile(rf"第[{ORDINALS_ZH}](?=[，,、：:]|点|是)|\b(?:{'|'.join(ORDINALS_EN)})(?:ly)?(?=[,:])", re.I)
+_ANNOUNCED = re.compile(
+    r"(?:分|有|包括|讲|说)(?:为|成)?(?:以下|如下)?([两二三四五六七八九十]|\d)(?:个|条|大)?(?:点|方面|部分|步|层|条|件事)(?=[。：:，,])"
+    r"|\b(two|three|four|five|six|seven|eight|nine|ten|\d) (?:\w+ )?(?:points|parts|steps|reasons|aspects|things)\b",
+    re.I,
+)
+_NEXT_POINT = re.compile(r"(?:[：:，,；;。.\n]|^)\s*(?:(?:[（(]?\d{1,2}[.、)）．]|[①-⑩]|[-*•])|第[一二三四五六七八九十][，,、：:]|(?:first|second|third|fourth|fifth)(?:ly)?[,:])\s*$", re.I)
 
 
 def content_of(answer: str | None) -> str:
@@ -103,11 +120,15 @@ def content_of(answer: str | None) -> str:
 
 def language_of(text: str) -> str | None:
     """A language code from scripts and function words, None if there is too little to tell."""
-    han, kana = len(_HAN.findall(text)), len(_KANA.findall(text))
+    if text.isascii():
+        han = kana = 0
+    else:
+        han, kana = len(_HAN.findall(text)), len(_KANA.findall(text))
     words = _LATIN.findall(text.lower())
-    for code, pattern in (("ko", _HANGUL), ("ru", _CYRILLIC), ("ar", _ARABIC)):
-        if (n := len(pattern.findall(text))) > 4 and n > han:
-            return code
+    if _OTHER_SCRIPT.search(text):
+        for code, pattern in (("ko", _HANGUL), ("ru", _CYRILLIC), ("ar", _ARABIC)):
+            if (n := len(pattern.findall(text))) > 4 and n > han:
+                return code
     if kana >= 4 and kana >= 0.1 * (han + kana):
         return "ja"
     if han >= 4 and han >= len(words):
@@ -138,8 +159,6 @@ def is_empty(content: str) -> bool:
 
 def is_refusal(content: str) -> bool:
     """A declining clause, and next to nothing but phrases that go with one."""
-    if len(content) > 400:
-        return False
     text = content.replace("’", "'").replace("‘", "'")
     zh = bool(_HAN.search(text))
     decline, filler, room = (DECLINE_ZH, FILLER_ZH, 12) if zh else (DECLINE_EN, FILLER_EN, 40)
@@ -161,92 +180,154 @@ class CopyMeter:
         self.overhead = len(self.plain.compress(b""))
 
     def ratio(self, question: str, answer: str) -> float:
+        """0 for texts that leave COPY_REST bytes or fewer: so short a rest says nothing of its own."""
         q, a = question.encode(), answer.encode()
-        if len(q) < 16 or len(a) < 16:
+        if not q or not a:
             return 1.0
+        q *= -(-8 // len(q))  # the format wants 8 bytes; a repetition tells nothing new
         given = zstandard.ZstdCompressionDict(q, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         with_q = zstandard.ZstdCompressor(level=3, dict_data=given, write_checksum=False, write_content_size=False, write_dict_id=False)
-        alone = len(self.plain.compress(a)) - self.overhead
-        return max(0.0, len(with_q.compress(a)) - self.overhead) / max(1, alone)
+        rest = max(0, len(with_q.compress(a)) - self.overhead)
+        return 0.0 if rest <= COPY_REST else rest / max(1, len(self.plain.compress(a)) - self.overhead)
+
+
+def _covered(text: str, grams: set[str], k: int) -> int:
+    """Characters of ``text`` that lie in a run of ``k`` or more whose grams are all known."""
+    n = at = 0
+    for i in range(len(text) - k + 1):
+        if text[i : i + k] in grams:
+            n += i + k - max(at, i)
+            at = i + k
+    return n
 
 
 def is_echo(question: str, answer: str) -> bool:
     """Exact check of a copy: hardly anything in the answer is not of the question, and a large part of
-    the question is in it. Both are squeezed texts."""
-    least = 5 if _HAN.search(answer) else 10
-    rest, new, parts = answer, 0, 0
-    matched = 0
-    while rest:  # the question may be given back more than once
-        m = SequenceMatcher(None, question, rest, autojunk=False)
-        blocks = [b for b in m.get_matching_blocks() if b.size >= least]
-        if not blocks:
-            new += len(rest)
-            break
-        end, got = 0, 0
-        for b in blocks:
-            new += b.b - end
-            end, got = b.b + b.size, got + b.size
-        matched, parts = max(matched, got), parts + 1
-        rest = rest[end:]
-        if parts > 50:
-            new += len(rest)
-            break
-    return matched >= 0.3 * len(question) and new <= max(12, 0.15 * len(answer))
+    the question is in it. Both are squeezed texts; linear in their lengths."""
+    if question and question == answer:
+        return True
+    k = 5 if _HAN.search(answer) else 10
+    grams_of = lambda t: {t[i : i + k] for i in range(len(t) - k + 1)}
+    new = len(answer) - _covered(answer, grams_of(question), k)
+    if new > max(3 * k, 0.03 * len(answer)):
+        return False
+    return _covered(question, grams_of(answer), k) >= max(1, 0.3 * len(question))
+
+
+def _clauses(sentence: str) -> list[str]:
+    return [c.strip() for c in _CLAUSE.split(sentence)]
+
+
+def contexts_of(sentence: str, words: set[str]) -> list[int]:
+    """Hashed contexts of the place where ``sentence`` stops: what comes right before it, how its last clauses
+    begin, and both together. Han text by characters, other text by words, the last of which may be cut."""
+    clauses = _clauses(sentence)
+    last, before = clauses[-1], clauses[-2] if len(clauses) > 1 else ""
+    n = min(len(clauses), 4)
+    if _HAN.search(last[-4:]) or not last and _HAN.search(before):
+        head = last[:3]
+        out = [f"s{last[-k:]}" for k in range(1, min(len(last), 8) + 1)]
+        out += [f"h{last[:k]}" for k in range(1, 5)]
+        out += [f"x{k}{head[:2]}|{last[-k:]}" for k in (1, 2, 3)] + [f"y{head}|{last[-2:]}", f"p{before[:2]}|{head[:2]}", f"q{before[:3]}|{n}", f"r{before[:2]}|{head[:2]}|{last[-2:]}"]
+        out += [f"n{n}|{head[:2]}", f"f{clauses[0][:2]}|{n}", f"g{clauses[0][:2]}|{n}|{last[-2:]}", f"l{min(len(last), 20)}", f"m{min(len(last), 20)}|{head[:2]}"]
+    else:
+        w = last.lower().split()
+        known = "".join("1" if x in words else "0" for x in w[-1:])
+        t = ["", "", "", "", *w]
+        out = [f"k{known}", f"a{t[-1]}", f"b{t[-2]} {t[-1]}", f"c{t[-3]} {t[-2]} {t[-1]}", f"d{t[-2]}|{known}", f"e{t[-3]} {t[-2]}|{known}", f"i{t[-4]} {t[-3]}|{known}"]
+        first = w[:2]
+        out += [f"u{' '.join(first)}", f"v{first[:1]}|{t[-1]}", f"w{' '.join(first)}|{t[-2]}", f"z{' '.join(first)}|{t[-1]}", f"n{n}|{first[:1]}", f"o{before.lower()[:6]}|{n}|{first[:1]}", f"l{min(len(w), 20)}", f"m{min(len(w), 20)}|{first[:1]}"]
+        out += [f"s{last[-k:]}" for k in (1, 2, 3, 4)]
+    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) & (CONTEXTS - 1) for x in out]
+
+
+def _last_sentence(text: str) -> str:
+    """What follows the last sentence end; without a word in it, the last sentence that has one."""
+    at = 0
+    for m in _SENTENCE_END.finditer(text):
+        if m.end() < len(text.rstrip()):
+            at = m.end()
+    return text[at:].strip()
 
 
 class TerminalContexts:
-    """For an end of text: the longest context known before ends of sentences, and before other places."""
+    """Log odds that a text may stop after a context, from contexts at ends of sentences and at places inside.
 
-    def __init__(self, texts: list[str]) -> None:
-        ends: dict[int, list[np.ndarray]] = {k: [] for k in LENGTHS}
-        inner: dict[int, list[np.ndarray]] = {k: [] for k in LENGTHS}
-        sentences = []
+    Sentences that end in a stop give the ends; the same sentences cut at drawn places, at their clause borders
+    and shortly before their ends give the places inside. The weights of contexts are fitted by logistic
+    regression held near zero, so rare contexts decide little and shorter, more frequent ones stand in."""
+
+    def __init__(self, texts: list[str], epochs: int = 4, pull: float = 1e-5) -> None:
+        found: set[str] = set()
         for t in texts:
-            for m in _SENTENCE.finditer(CITATION.sub("", t)):
-                if s := squeeze(m.group()):
-                    sentences.append(s)
-        sentences = sorted(set(sentences))
-        flat, offsets = code_points(sentences)
-        for k in LENGTHS:
-            h = gram_hashes(flat, k)
-            starts, owner = gram_starts(offsets, k)
-            last = starts + k == offsets[1:][owner] if len(starts) else np.zeros(0, dtype=bool)
-            values = h[starts] if len(starts) else h
-            ends[k].append(values[last])
-            inner[k].append(values[~last])
-        self.ends = {k: np.unique(np.concatenate(v)) for k, v in ends.items()}
-        self.inner = {k: np.unique(np.concatenate(v)) for k, v in inner.items()}
-
-    @staticmethod
-    def _longest(known: dict[int, np.ndarray], tail: str) -> int:
-        flat, _ = code_points([tail])
-        best = 0
-        for k in LENGTHS:
-            if len(flat) < k or not len(known[k]):
-                break
-            h = gram_hashes(flat[len(flat) - k :], k)[0]
-            i = int(np.searchsorted(known[k], h))
-            if i >= len(known[k]) or known[k][i] != h:
-                break
-            best = k
-        return best
-
-    def depths(self, content: str) -> tuple[int, int]:
-        tail = squeeze(content[-80:])[-LENGTHS[-1] :]
-        return self._longest(self.ends, tail), self._longest(self.inner, tail)
+            for m in _SENTENCE.finditer(CITATION.sub("", INVISIBLE.sub("", t))):
+                s = _STOP.sub("", m.group().strip())
+                if len(s) > 3 and _STOP.search(m.group().strip()):
+                    found.add(s)
+        sentences = sorted(found)
+        counts = Counter(w for s in sentences for w in set(_CLAUSE.sub(" ", s).lower().split()))
+        self.words = {w for w, n in counts.items() if n > 1}
+        rng = np.random.default_rng(11)
+        rows, labels = [], []
+        for s in sentences:
+            rows.append(contexts_of(s, self.words))
+            labels.append(1.0)
+            borders = [m.start() for m in _CLAUSE.finditer(s) if m.start() > 1]
+            cuts = {int(c) for c in rng.integers(2, len(s), 2)} | {int(rng.integers(max(2, len(s) - 6), len(s)))}
+            cuts |= {int(c) for c in rng.choice(borders, min(2, len(borders)), replace=False)} if borders else set()
+            for c in sorted(cuts):
+                rows.append(contexts_of(s[:c], self.words))
+                labels.append(0.0)
+        self.weights = np.zeros(CONTEXTS, dtype=np.float32)
+        if not rows:
+            return
+        places = np.full((len(rows), max(map(len, rows))), CONTEXTS, dtype=np.int64)  # the last cell is for no context
+        for i, r in enumerate(rows):
+            places[i, : len(r)] = r
+        y = np.array(labels)
+        balance = np.where(y > 0, (len(y) - y.sum()) / max(1.0, y.sum()), 1.0)
+        w, square = np.zeros(CONTEXTS + 1), np.full(CONTEXTS + 1, 1e-2)
+        for _ in range(epochs):
+            for part in np.array_split(rng.permutation(len(y)), max(1, len(y) // 2048)):
+                f = places[part]
+                p = 1 / (1 + np.exp(-np.clip(w[f].sum(axis=1), -30, 30)))
+                g = np.broadcast_to(((p - y[part]) * balance[part])[:, None], f.shape)
+                grad = np.bincount(f.ravel(), weights=g.ravel(), minlength=CONTEXTS + 1)
+                used = np.flatnonzero(grad[:-1])
+                step = grad[used] + pull * len(part) * w[used]
+                square[used] += step**2
+                w[used] -= 0.2 * step / np.sqrt(square[used])
+        self.weights = w[:-1].astype(np.float32)
+
+    def odds(self, content: str) -> float:
+        """Log odds that ``content``, which has no stop at its end, may end there."""
+        return float(self.weights[contexts_of(_last_sentence(content), self.words)].sum())
 
     def stops_early(self, content: str) -> bool:
-        if _HANGING.search(content):
+        end = content[-64:]  # all of the end that these patterns look at
+        if _HANGING.search(end) or unfinished_list(content):
             return True
-        if _TERMINAL.search(content):
+        if _ELLIPSIS.search(end):
+            return self.odds(_ELLIPSIS.sub("", content)) < LEAST_ODDS
+        if _TERMINAL.search(end):
             return False
         depth = 0
         for c in content:
             depth = depth + 1 if c in _OPEN else max(0, depth - 1) if c in _CLOSE else depth
-        if depth:
-            return True
-        end, inner = self.depths(content)
-        return inner > end
+        return depth > 0 or self.odds(content) < LEAST_ODDS
+
+
+def unfinished_list(content: str) -> bool:
+    """Whether a text announces a number of points and numbers fewer, or ends in the mark of a next point."""
+    if _NEXT_POINT.search(content[-64:]):
+        return True
+    m = _ANNOUNCED.search(content)
+    if not m:
+        return False
+    said = next(g for g in m.groups() if g).lower()
+    want = int(said) if said.isdecimal() else NUMERALS[said]
+    seen = {_ORDINALS[x.lower()] for x in _ORDINAL.findall(content)}
+    return 0 < len(seen) and max(seen) < want
 
 
 def defect_of(question: str | None, answer: str | None, answerable: bool | None, abstained: bool | None, model: TerminalContexts, meter: CopyMeter) -> tuple[str | None, float]:
