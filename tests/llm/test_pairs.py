@@ -40,3 +40,32 @@ def test_edges(spark):
     out = pairs.flag_broken_pairs(df)
     assert out.count() == 2 and out.where("defect is not null").count() == 0
     assert set(out.columns) == {"case_id", "question", "answer", "copy_ratio", "defect"}
+
+
+def test_ends_that_say_more_is_to_come(spark):
+    rows = [
+        ("few_points", Q, "我的回答分四点。第一，先看现象。第二，当时遇到偶发的堆积，我用抽样核对逐步确认原因。", True, False, None), ("all_points", Q, "我的回答分两点。第一，先看现象。第二，当时遇到偶发的堆积，我用抽样核对逐步确认原因。", True, False, None),
+        ("few_points_en", "Why?", "There are three points. First, the cache endpoint decided it. Second, we filed a public report.", True, False, None),
+        ("next_mark", Q, A + "具体包括以下几点：1.", True, False, None), ("next_ordinal", Q, A + "第三，", True, False, None),
+        ("ellipsis", Q, A[: A.index("提交了公开") + 3] + "…", True, False, None),
+    ]
+    got = found(spark, rows)
+    assert {k: got[k] for k, *_ in rows} == {"few_points": "truncated", "all_points": None, "few_points_en": "truncated", "next_mark": "truncated", "next_ordinal": "truncated", "ellipsis": "truncated"}
+
+
+def test_no_size_decides(spark):
+    refusal = "抱歉，我无法回答这个问题，请咨询相关老师。"
+    rows = [("long_refusal", Q, refusal * 40, True, False, None), ("short_echo", "什么是召回", "什么是召回", True, False, None), ("many_echoes", Q, Q * 120, True, False, None), ("echo_then_answer", Q, Q * 60 + A, True, False, None)]
+    got = found(spark, rows)
+    assert {k: got[k] for k, *_ in rows} == {"long_refusal": "refusal", "short_echo": "echo", "many_echoes": "echo", "echo_then_answer": None}
+
+
+def test_terminal_contexts_on_held_out_ends(spark):
+    """Fitted on half of the answers: whole texts of the other half may end, texts cut inside a sentence may not."""
+    t = spark.read.parquet("/root/testdata/sf0.01/answer_fixtures.parquet").where("length(answer) > 40").select("answer").distinct().toPandas()["answer"]
+    texts = sorted(x for x in map(pairs.content_of, t) if x.endswith(("。", ".")) and not pairs.is_refusal(x))
+    model = pairs.TerminalContexts(texts[::2])
+    whole = [x.rstrip("。. ") for x in texts[1::2]]
+    cuts = [x[:k] for x in whole for k in (len(x) // 2, len(x) * 3 // 4) if x[k - 1] not in "。. " and x[k] not in "。. "]
+    assert sum(model.odds(x) >= pairs.LEAST_ODDS for x in whole) >= 0.97 * len(whole)
+    assert sum(model.odds(x) < pairs.LEAST_ODDS for x in cuts) >= 0.95 * len(cuts)
