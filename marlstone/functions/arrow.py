@@ -5,12 +5,14 @@ Each has a plain function for a single text, which the tests use, and a UDF buil
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterable
 from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -115,43 +117,43 @@ def template_canonical(text: str) -> str:
     return "".join(_word(p, True) if k == "w" else p for k, p in _runs(folded(text)))
 
 
-@lru_cache(maxsize=65536)
-def semantic_token(token: str) -> str:
-    t = SEMANTIC_ALIASES.get(token, token)
-    if t.startswith("<"):
-        return t
-    for ending, longer_than in (("ing", 5), ("ed", 4), ("s", 4)):
-        if len(t) > longer_than and t.endswith(ending):
-            t = t[: -len(ending)]
-            break
-    return SEMANTIC_ALIASES.get(t, t)
+#: Endings that are taken off, each with the least that must be left of a word.
+_ENDING = r"^(?:(.{3,})ing|(.{3,})ed|(.{4,})s)$"
+
+
+def semantic(text: Column) -> Column:
+    """Semantic units of a text in order, repeats kept: tokens by alias, without an English ending, by alias
+    again; numbers, ids and stop words are left out. Only the tokens come from Python."""
+    alias = F.create_map(*(F.lit(x) for pair in SEMANTIC_ALIASES.items() for x in pair))
+    of = lambda t: F.coalesce(F.try_element_at(alias, t), t)
+    units = F.transform(tokens(text), lambda t: of(F.regexp_replace(of(t), _ENDING, "$1$2$3")))
+    return F.filter(units, lambda u: ~u.startswith("<") & ~u.isin(*sorted(SEMANTIC_STOPWORDS)))
+
+
+def _window_ends(text: str, size: int) -> Callable[[int], int]:
+    """Maps the start of a window to its end, by the places of all full stops and line ends of the text."""
+    places = [np.array([m.end() for m in re.finditer(mark, text)], dtype=np.int64) for mark in ("。", "\n")]
 
+    def end_of(start: int) -> int:
+        full = start + size
+        # The last place of a kind within the window; both kinds in the order of preference, then the hard end.
+        last = (p[i - 1] for p in places if (i := np.searchsorted(p, full, side="right")))
+        return int(next((x for x in last if x > start + size // 2 + 1), full))
 
-def semantic_units(text: str) -> list[str]:
-    """Semantic units of a text in order, repeats kept."""
-    units = (semantic_token(t) for t in leakage_tokens(text))
-    return [u for u in units if not u.startswith("<") and u not in SEMANTIC_STOPWORDS]
+    return end_of
 
 
 def split_long_text(text: str, size: int = 800, overlap: int = 120) -> list[str]:
-    """Windows of at most ``size`` characters, cut after the last 。 beyond their middle, else after the last
-    line end beyond it, else hard; the next begins ``overlap`` before the cut. Pieces are stripped."""
-    pieces, start, n = [], 0, len(text)
-    if n <= size:
+    """Windows of at most ``size`` characters. A window ends after its last 。 beyond its middle, else after its
+    last line end beyond it, else where it is full; the next one reaches ``overlap`` back. Stripped, none empty."""
+    if len(text) <= size:
         return [text]
-    while start < n:
-        end, half = min(n, start + size), start + size // 2
-        for mark in ("。", "\n"):
-            cut = text.rfind(mark, start, end)
-            if cut > half:
-                end = cut + 1
-                break
-        if piece := text[start:end].strip():
-            pieces.append(piece)
-        if end == n:
-            break
-        start = max(start + 1, end - overlap)
-    return pieces
+    end_of, spans = _window_ends(text, size), [(0, 0)]
+    while spans[-1][1] < len(text):
+        start, end = spans[-1]
+        after = max(start + 1, end - overlap) if end else 0
+        spans.append((after, min(len(text), end_of(after))))
+    return [piece for a, b in spans[1:] if (piece := text[a:b].strip())]
 
 
 def matcher_ratio(a: str, b: str) -> float:
@@ -173,7 +175,6 @@ fold_tight = udf_of(folded_tight, T.StringType())
 tokens = udf_of(leakage_tokens, STRINGS)
 supported = udf_of(script_supported, T.BooleanType())
 template = udf_of(template_canonical, T.StringType())
-semantic = udf_of(semantic_units, STRINGS)
 ratio = udf_of(matcher_ratio, T.DoubleType())
 bigrams = udf_of(counted_bigrams, STRINGS)
 

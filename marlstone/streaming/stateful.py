@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def rate_limited(events: DataFrame, user: str, at_ms: str, window_ms: int = 1000, limit: int = 4) -> DataFrame:
+def rate_limited(events: DataFrame, user: str, at_ms: str, window_ms: int = 1000, limit: int = 4, late: str = "1 hour") -> DataFrame:
     """(user, at, allowed) with a window anchored at its first event, kept as state by user.
 
-    Events of one user are taken in the order of their times within a micro-batch; state is 16 bytes a user
-    and is dropped after ten windows without events (by processing time)."""
+    Events of one user are taken in the order of their times within a micro-batch. State is 16 bytes a user and
+    goes once the watermark is ten windows past the user's last event; events ``late`` behind the latest are
+    dropped (times up to 1970 count as its first moment there). No timer of the wall clock runs, so a stream that
+    has read its input ends."""
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -29,13 +31,14 @@ def rate_limited(events: DataFrame, user: str, at_ms: str, window_ms: int = 1000
             n += 1
             out.append(n <= limit)
         state.update((start, n))
-        state.setTimeoutDuration(10 * max(window_ms, 1000))
+        state.setTimeoutTimestamp(max(int(rows["at"].iloc[-1]), state.getCurrentWatermarkMs()) + 10 * max(window_ms, 1000))
         yield pd.DataFrame({"user": [key[0]] * len(rows), "at": rows["at"].to_numpy(), "allowed": out})
 
     kind = dict(events.select(F.col(user).alias("user")).dtypes)["user"]
+    at = F.col(at_ms).cast("bigint")
     return (
-        events.select(F.col(user).alias("user"), F.col(at_ms).cast("bigint").alias("at")).groupBy("user")
-        .applyInPandasWithState(step, f"user {kind}, at bigint, allowed boolean", "start bigint, n bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        events.select(F.col(user).alias("user"), at.alias("at"), F.timestamp_millis(F.greatest(at, F.lit(1))).alias("when")).withWatermark("when", late).groupBy("user")
+        .applyInPandasWithState(step, f"user {kind}, at bigint, allowed boolean", "start bigint, n bigint", "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 

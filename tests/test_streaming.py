@@ -15,9 +15,11 @@ def stream(spark, tmp_path, rows, schema, files=2):
 
 
 def run(df, name, spark, mode="append"):
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).start()
-    q.processAllAvailable()
-    q.stop()
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    try:
+        assert q.awaitTermination(120)
+    finally:
+        q.stop()
     return spark.table(name)
 
 
