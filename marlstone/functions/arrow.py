@@ -18,6 +18,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marlstone.functions import text as X
+
 STRINGS = T.ArrayType(T.StringType())
 
 # Aliases and stop words of the semantic bag.
@@ -156,6 +158,21 @@ def split_long_text(text: str, size: int = 800, overlap: int = 120) -> list[str]
     return [piece for a, b in spans[1:] if (piece := text[a:b].strip())]
 
 
+_LATIN_TERMS, _HAN_RUNS = re.compile(X.LATIN_TERM), re.compile(f"[{X.HAN}]+")
+
+
+def search_terms(text: str | None) -> list[str]:
+    """``text.search_terms`` of one text, in any order; null has none."""
+    low = (text or "").lower()
+    out = _LATIN_TERMS.findall(low)
+    for run in _HAN_RUNS.findall(low):
+        out += run
+        out += map("".join, zip(run, run[1:]))
+        if 2 <= len(run) <= 8:
+            out.append(run)
+    return out
+
+
 def matcher_ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b, autojunk=False).ratio()
 

@@ -5,6 +5,8 @@ Nulls give null (arrays: null as well); empty texts give empty arrays unless a f
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,11 +63,18 @@ def template_text(col: Column) -> Column:
     return F.regexp_replace(t, f"[^a-z0-9{HAN}]+", "")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, also where ``use`` names it within a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
 def ngrams(col: Column, n: int) -> Column:
     """All runs of ``n`` characters in order; a shorter text has none."""
-    return F.when(F.length(col) >= n, F.transform(F.sequence(F.lit(1), F.length(col) - (n - 1)), lambda i: F.substring(col, i, F.lit(n)))).when(
-        col.isNotNull(), F.array().cast("array<string>")
-    )
+    def of(t: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, F.lit(n)))
+        return F.when(F.length(t) >= n, runs).when(t.isNotNull(), F.array().cast("array<string>"))
+
+    return bound(col, of)
 
 
 def ngram_set(col: Column, n: int, whole_if_short: bool = False) -> Column:
@@ -78,10 +87,11 @@ def ngram_set(col: Column, n: int, whole_if_short: bool = False) -> Column:
 
 def array_shingles(tokens: Column, n: int) -> Column:
     """Distinct runs of ``n`` tokens, joined by a unit separator; fewer tokens have none."""
-    return F.when(
-        F.size(tokens) >= n,
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), "\x1f"))),
-    ).when(tokens.isNotNull(), F.array().cast("array<string>"))
+    def of(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), "\x1f"))
+        return F.when(F.size(w) >= n, F.array_distinct(runs)).when(w.isNotNull(), F.array().cast("array<string>"))
+
+    return bound(tokens, of)
 
 
 def _han_terms(run: Column) -> Column:

@@ -20,10 +20,20 @@ def words(col: Column) -> Column:
     return F.regexp_extract_all(F.lower(col), F.lit(f"[a-z0-9]+|[{X.HAN}]"), F.lit(0))
 
 
+def shingle_hashes(tokens: Column, n: int, whole_if_short: bool = False) -> Column:
+    """Distinct 64-bit hashes of the runs of ``n`` tokens; fewer tokens have none or, with ``whole_if_short``, one
+    if they are any. Null gives null."""
+    def of(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(F.slice(w, i, n)))
+        short = F.when((F.size(w) > 0) & F.lit(whole_if_short), F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
+        return F.when(F.size(w) >= n, F.array_distinct(runs)).when(w.isNotNull(), short)
+
+    return X.bound(tokens, of)
+
+
 def word_shingles(col: Column, n: int = 5) -> Column:
-    """Distinct runs of ``n`` words; a shorter text is one shingle, one without words has none."""
-    w = words(col)
-    return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) < n, F.array(F.array_join(w, "\x1f"))).otherwise(X.array_shingles(w, n))
+    """Distinct hashes of the runs of ``n`` words; a shorter text is one shingle, one without words has none."""
+    return shingle_hashes(words(col), n, whole_if_short=True)
 
 
 def membership(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -37,12 +47,14 @@ def representatives(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(text).alias("text")).agg(F.min(key).alias("class")).select("class", "text")
 
 
-def _ordered(sets: DataFrame, key: str, tokens: str) -> DataFrame:
-    """(key, n, token, pos): tokens of each set in the global order, rare ones first."""
+def _prefixes(sets: DataFrame, key: str, tokens: str, length: Column) -> DataFrame:
+    """(k, n, token, pos): the first ``length`` (of n) tokens of each set in the global order, rare ones first.
+    Tokens are shuffled once to count them and once to bring each set together; a set is as long as its text."""
     flat = sets.select(F.col(key).alias("k"), F.size(tokens).alias("n"), F.explode(tokens).alias("token"))
     df = flat.groupBy("token").agg(F.count("*").alias("df"))
-    place = Window.partitionBy("k").orderBy("df", "token")
-    return flat.join(df, "token").withColumn("pos", F.row_number().over(place)).select("k", "n", "token", "pos")
+    placed = flat.join(df, "token").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
+    first = placed.select("k", "n", F.posexplode(F.slice("o", F.lit(1), length.cast("int"))).alias("pos", "e"))
+    return first.select("k", "n", F.col("e.token").alias("token"), (F.col("pos") + 1).alias("pos"))
 
 
 def jaccard_join(sets: DataFrame, key: str, tokens: str, num: int, den: int, strict: bool = False) -> DataFrame:
@@ -53,7 +65,7 @@ def jaccard_join(sets: DataFrame, key: str, tokens: str, num: int, den: int, str
     positional bounds prune before the exact test, which compares integers."""
     t = F.lit(num) / F.lit(den)
     sets = sets.where(F.size(tokens) > 0)
-    prefix = _ordered(sets, key, tokens).where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den) - 1e-9) + 1)
+    prefix = cut_table(_prefixes(sets, key, tokens, F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den) - 1e-9) + 1))
     a = prefix.select(F.col("k").alias("a"), F.col("n").alias("na"), "token", F.col("pos").alias("pa"))
     b = prefix.select(F.col("k").alias("b"), F.col("n").alias("nb"), "token", F.col("pos").alias("pb"))
     room = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))

@@ -65,7 +65,7 @@ GROUP BY a.class, b.class HAVING CAST(sum(a.tf * b.tf) AS HUGEINT) * sum(a.tf *
 def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Answers whose bags of five-word shingles have a cosine of 0.86 or more."""
     reps = S.representatives(table(spark, d, "grading_cases"), "case_id", "answer").select("class", S.words(F.col("text")).alias("w")).where(F.size("w") >= 5)
-    shingle = F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.array_join(F.slice("w", i, 5), "\x1f"))
+    shingle = F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.xxhash64(F.slice("w", i, 5)))
     tf = reps.select("class", F.explode(shingle).alias("t")).groupBy("class", "t").agg(F.count("*").alias("tf"))
     return S.cosine_join(tf, "class", "t", "tf", 86, 100).select("a", "b", "dot")
 
@@ -76,7 +76,7 @@ n AS (SELECT s, count(*) AS rows FROM flat GROUP BY s)
 SELECT case_id, count(*) AS shingles, count(*) FILTER (rows > 1) AS shared, CAST(sum(rows - 1) AS BIGINT) AS partners_at_most FROM flat JOIN n USING (s) GROUP BY case_id""")
 def shingle_overlap(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, "grading_cases").select("case_id", "answer").distinct()
-    return S.shared_shingles(g, "case_id", X.array_shingles(S.words(F.col("answer")), 12))
+    return S.shared_shingles(g, "case_id", S.shingle_hashes(S.words(F.col("answer")), 12))
 
 
 @query("""SELECT kind, count(*) AS groups, CAST(sum(n) AS BIGINT) AS rows, max(n) AS largest FROM (

@@ -240,8 +240,8 @@ def gold_families(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT 'bm25' AS stage, count(*) AS queries, sum(n) AS candidates FROM (" + bm25_sql(k=1_000_000_000, final=False) + " SELECT case_id, count(*) AS n FROM ranking GROUP BY case_id)")
 def stage_trace(spark: SparkSession, d: str) -> DataFrame:
-    n = ranking(spark, d, None).groupBy("case_id").agg(F.count("*").alias("n"))
-    return n.agg(F.lit("bm25").alias("stage"), F.count("*").alias("queries"), F.sum("n").alias("candidates")).select("stage", "queries", "candidates")
+    n = R.matches(cases(spark, d), documents(spark, d), "case_id", "question", "chunk_id", doc_text())
+    return n.agg(F.lit("bm25").alias("stage"), F.count("*").alias("queries"), F.sum("candidates").alias("candidates")).select("stage", "queries", "candidates")
 
 
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
