@@ -115,20 +115,24 @@ def squeezed_flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """``code_points`` of the squeezed texts, without a string for each."""
     flat, offsets = code_points(texts)
     table = _squeeze_table()
-    mapped = table[np.minimum(flat, 0xFFFF)]
-    odd = (mapped == _SPECIAL) | (flat > 0xFFFF)
-    owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    if odd.any():
-        strange = np.unique(owner[odd])
-        plain = list(texts)
+    mapped = table[flat] if not len(flat) or flat.max() < len(table) else np.where(flat < len(table), table[np.minimum(flat, len(table) - 1)], _SPECIAL)
+    odd = np.flatnonzero(mapped == _SPECIAL)
+    if len(odd):  # texts in which neighbours matter are squeezed as strings
+        strange = np.unique(np.searchsorted(offsets, odd, side="right") - 1)
+        parts, at = [], 0
+        sizes = _sizes_kept(mapped, offsets)
         for i in strange:
-            plain[i] = squeeze(texts[i])
-        flat, offsets = code_points(plain)
-        owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
-        mapped = np.where(np.isin(owner, strange), flat, table[np.minimum(flat, 0xFFFF)])
-    keep = mapped != 0
-    sizes = np.bincount(owner[keep], minlength=len(texts))
-    return mapped[keep].astype(np.uint32), np.concatenate(([0], np.cumsum(sizes)))
+            parts += [mapped[at : offsets[i]], code_points([squeeze(texts[i])])[0]]
+            sizes[i], at = len(parts[-1]), offsets[i + 1]
+        mapped = np.concatenate([*parts, mapped[at:]])
+    else:
+        sizes = _sizes_kept(mapped, offsets)
+    return mapped[mapped != 0].astype(np.uint32, copy=False), np.concatenate(([0], np.cumsum(sizes)))
+
+
+def _sizes_kept(mapped: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    before = np.concatenate(([0], np.cumsum(mapped != 0)))
+    return before[offsets[1:]] - before[offsets[:-1]]
 
 
 def some_texts(flat: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

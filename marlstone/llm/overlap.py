@@ -7,8 +7,9 @@ over all rows in a sketch of fixed size, where a group of near copies counts abo
 across the split are kept, and each is verified by the exact Jaccard similarity of its shingles.
 
 Sizes: what is broadcast is the sketches (fixed size) and the few texts that hold over a thousandth of the
-rows each (at most a thousand). Copies of one text are one entry of a bucket. No pair within a side and no
-pair of exact copies goes through the buckets.
+rows each (at most a thousand). Copies of one text are one entry of a bucket, and an entry is shuffled only if
+a bitmap (of a size that grows with the entries up to 64 MB) says that the other side has its bucket too; a full
+bitmap costs shuffles, never pairs. No pair within a side and no pair of exact copies goes through the buckets.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +43,8 @@ BUCKETS = 1 << 18
 CHUNK = 1 << 12
 #: Rows up to which a list of text hashes is broadcast; beyond, the join is shuffled.
 SMALL_LIST = 200_000
+#: Binary logarithms of the bits of a bitmap of buckets; bits of a piece of it.
+LEAST_CELLS, MOST_CELLS, PIECE = 20, 29, 1 << 19
 
 
 @dataclass
@@ -227,12 +231,57 @@ def _weighted_counts(rows: DataFrame, tables: int, known: Broadcast, before: Bro
     return [c[:BUCKETS] for c in counts], [float(c[BUCKETS + 1] / c[BUCKETS]) if c[BUCKETS] else 1.0 for c in counts]
 
 
-def near_pairs(tables: Mapping[str, tuple[DataFrame, str, str, str]], threshold: float = THRESHOLD) -> DataFrame:
-    """All pairs of a train row and a dev or test row of one table with near the same text: ``source``,
-    ``train_id``, ``eval_id``, ``eval_split`` and ``similarity`` (1 for the same text up to form).
+def _marks(entries: DataFrame, bands_of: list[str], cells: int) -> dict[int, np.ndarray]:
+    """For each side a bitmap of the cells that its bucket numbers fall into. Tasks send compressed pieces of
+    their bitmaps, which are united before they are collected: ``cells`` bits a side, whatever the input."""
 
-    Rows without split, id or text are in no pair, nor are texts without letters or digits; repeats of a
-    row give no further pairs; empty tables give none; extra columns are ignored."""
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = {1: np.zeros(cells, dtype=bool), 2: np.zeros(cells, dtype=bool)}
+        for b in batches:
+            numbers, side = b[bands_of].to_numpy(), b["side"].to_numpy()
+            for k, own in bits.items():
+                own[_cells(numbers[side == k].ravel(), cells)] = True
+        pack = zstandard.ZstdCompressor(level=1)
+        for k, own in bits.items():
+            pieces = [(i, x) for i, x in enumerate(own.reshape(-1, PIECE)) if x.any()]
+            yield pd.DataFrame({"side": k, "piece": [i for i, _ in pieces], "bits": [pack.compress(np.packbits(x).tobytes()) for _, x in pieces]})
+
+    def unite(part: pd.DataFrame) -> pd.DataFrame:
+        open_ = zstandard.ZstdDecompressor()
+        total = np.bitwise_or.reduce([np.frombuffer(open_.decompress(x), dtype=np.uint8) for x in part["bits"]])
+        return pd.DataFrame({"side": [part["side"].iloc[0]], "piece": [part["piece"].iloc[0]], "bits": [zstandard.ZstdCompressor(level=1).compress(total.tobytes())]})
+
+    schema = "side int, piece int, bits binary"
+    out = {k: np.zeros(cells // 8, dtype=np.uint8) for k in (1, 2)}
+    for r in entries.mapInPandas(mark, schema).groupBy("side", "piece").applyInPandas(unite, schema).collect():
+        out[r["side"]][r["piece"] * (PIECE // 8) : (r["piece"] + 1) * (PIECE // 8)] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["bits"]), dtype=np.uint8)
+    return out
+
+
+def _cells(numbers: np.ndarray, cells: int) -> np.ndarray:
+    return (mix64(numbers) & np.uint64(cells - 1)).astype(np.int64)
+
+
+def _marked(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Whether cells are set; bits are in the order of ``packbits``."""
+    return (bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 > 0
+
+
+@dataclass
+class Links:
+    """``members``: (tab, fp, side, id, split) of all rows, ``fp`` being their class of equal text up to form;
+    ``pairs``: (e, t, similarity) of classes of evaluation and of training texts that are near the same."""
+
+    names: list[str]
+    members: DataFrame
+    pairs: DataFrame
+
+    def source(self) -> Column:
+        return F.element_at(F.array(*map(F.lit, self.names)), F.col("tab") + 1)
+
+
+def near_links(tables: Mapping[str, tuple[DataFrame, str, str, str]], threshold: float = THRESHOLD) -> Links:
+    """The links between near-same texts across the split, by class of equal texts: what ``near_pairs`` expands."""
     names = list(tables)
     rows = split_rows(tables)
     spark = rows.sparkSession
@@ -269,12 +318,28 @@ def near_pairs(tables: Mapping[str, tuple[DataFrame, str, str, str]], threshold:
     schema = "tab int, id string, side int, split string, fp long, head boolean, " + ", ".join(f"{c} long" for c in sk + bk)
     sketched = keep(rows.select("tab", "id", "text", "side", "split").mapInPandas(sketch, schema))
     heads = sketched.where("head")
-    entries = heads.select("fp", "side", F.explode(F.array(*bk)).alias("band"))
+    # A bucket number goes on only if its cell is marked on the other side too: of others no pair can come.
+    cells = 1 << min(MOST_CELLS, max(LEAST_CELLS, int(heads.count() * BANDS * 4).bit_length()))
+    marks = spark.sparkContext.broadcast(_marks(heads.select("side", *bk), bk, cells))
+
+    def meeting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        other = {1: marks.value[2], 2: marks.value[1]}
+        for b in batches:
+            numbers, side, fp = b[bk].to_numpy(), b["side"].to_numpy(), b["fp"].to_numpy()
+            for k, bits in other.items():
+                mine = numbers[side == k]
+                i, j = np.nonzero(_marked(bits, _cells(mine.ravel(), cells)).reshape(mine.shape))
+                yield pd.DataFrame({"side": np.full(len(i), k, dtype=np.int32), "band": mine[i, j], "fp": fp[side == k][i]})
+
+    # Heads are those of a batch: one entry is left of the copies of a text in all batches.
+    entries = heads.select("side", "fp", *bk).mapInPandas(meeting, "side int, band long, fp long").distinct()
     ours = entries.where("side = 2").select("band", F.col("fp").alias("e"))
     theirs = entries.where("side = 1").select("band", F.col("fp").alias("t"))
-    candidates = ours.join(theirs, "band").where(F.col("e") != F.col("t")).select("e", "t").distinct()
-    one = heads.groupBy("fp").agg(*(F.min(c).alias(c) for c in sk))
-    candidates = candidates.join(one.select(F.col("fp").alias("e"), *(F.col(c).alias(f"e{c}") for c in sk)), "e")
+    met = cut_table(ours.join(theirs, "band").where(F.col("e") != F.col("t")).select("e", "t").distinct())
+    wanted = met.select(F.explode(F.array("e", "t")).alias("fp")).distinct()
+    hint = F.broadcast if wanted.count() <= SMALL_LIST else (lambda x: x)
+    one = heads.join(hint(wanted), "fp", "left_semi").groupBy("fp").agg(*(F.min(c).alias(c) for c in sk))
+    candidates = met.join(one.select(F.col("fp").alias("e"), *(F.col(c).alias(f"e{c}") for c in sk)), "e")
     candidates = candidates.join(one.select(F.col("fp").alias("t"), *(F.col(c).alias(f"t{c}") for c in sk)), "t")
 
     def agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -309,15 +374,51 @@ def near_pairs(tables: Mapping[str, tuple[DataFrame, str, str, str]], threshold:
                 yield pd.DataFrame({"e": part["e"], "t": part["t"], "similarity": j})[j >= threshold]
 
     verified = cut_table(pairs.select("e", "t", "tab", "te", "tt").mapInPandas(verify, "e long, t long, similarity double"))
-    members = sketched.select("tab", "fp", "side", "id", "split")
-    evals = members.where("side = 2").select("tab", F.col("fp").alias("e"), F.col("id").alias("eval_id"), F.col("split").alias("eval_split"))
-    trains = members.where("side = 1").select(F.col("fp").alias("t"), F.col("id").alias("train_id"))
-    hint = F.broadcast if verified.count() <= SMALL_LIST else (lambda x: x)
-    near = evals.join(hint(verified), "e")
+    return Links(names, sketched.select("tab", "fp", "side", "id", "split"), verified)
+
+
+def _sides(links: Links) -> tuple[DataFrame, DataFrame]:
+    evals = links.members.where("side = 2").select("tab", F.col("fp").alias("e"), F.col("id").alias("eval_id"), F.col("split").alias("eval_split"))
+    return evals, links.members.where("side = 1").select(F.col("fp").alias("t"), F.col("id").alias("train_id"))
+
+
+def near_pairs(tables: Mapping[str, tuple[DataFrame, str, str, str]], threshold: float = THRESHOLD) -> DataFrame:
+    """All pairs of a train row and a dev or test row of one table with near the same text: ``source``,
+    ``train_id``, ``eval_id``, ``eval_split`` and ``similarity`` (1 for the same text up to form).
+
+    Rows without split, id or text are in no pair, nor are texts without letters or digits; repeats of a
+    row give no further pairs; empty tables give none; extra columns are ignored. Exact copies are expanded into
+    their pairs here; ``near_links`` keeps them as classes."""
+    links = near_links(tables, threshold)
+    evals, trains = _sides(links)
+    hint = F.broadcast if links.pairs.count() <= SMALL_LIST else (lambda x: x)
+    near = evals.join(hint(links.pairs), "e")
     same = evals.select("tab", "e", "eval_id", "eval_split", F.col("e").alias("t"), F.lit(1.0).alias("similarity"))
     out = near.select(same.columns).unionByName(same).join(trains, "t")
-    source = F.element_at(F.array(*map(F.lit, names)), F.col("tab") + 1)
-    return out.where(F.col("eval_id") != F.col("train_id")).select(source.alias("source"), "train_id", "eval_id", "eval_split", "similarity").distinct()
+    return out.where(F.col("eval_id") != F.col("train_id")).select(links.source().alias("source"), "train_id", "eval_id", "eval_split", "similarity").distinct()
+
+
+def overlap_summary(links: Links) -> DataFrame:
+    """``overlap_report`` from the sizes of the classes, without a row for each pair. A row counts once for each of
+    its texts; one that is on both sides is no pair with itself. ``eval_rows`` and ``train_rows`` are the rows of
+    linked classes."""
+    members = keep(links.members.distinct())
+    evals = members.where("side = 2").groupBy("tab", F.col("fp").alias("e"), F.col("split").alias("eval_split")).agg(F.count("*").alias("ne"))
+    trains = members.where("side = 1").groupBy(F.col("fp").alias("t")).agg(F.count("*").alias("nt"))
+    known = evals.select("e").distinct().join(trains.select(F.col("t").alias("e")), "e").select("e", F.col("e").alias("t"), F.lit(1.0).alias("similarity"))
+    linked = keep(links.pairs.unionByName(known).select("e", "t", (F.col("e") == F.col("t")).alias("same")))
+    own = members.where("side = 2").alias("x").join(members.where("side = 1").alias("y"), ["tab", "id"])
+    own = own.select("tab", F.col("x.split").alias("eval_split"), F.col("x.fp").alias("e"), F.col("y.fp").alias("t")).join(linked, ["e", "t"])
+    own = own.groupBy("tab", "eval_split").agg(F.count("*").alias("own"), F.count(F.when(F.col("same"), 1)).alias("own_same"))
+    met = evals.join(linked, "e").join(trains, "t")
+    n = F.col("ne") * F.col("nt")
+    pairs = met.groupBy("tab", "eval_split").agg(F.sum(n).alias("n"), F.coalesce(F.sum(F.when(F.col("same"), n)), F.lit(0)).alias("n_same"))
+    rows = lambda key, size, name: met.groupBy("tab", "eval_split", key).agg(F.max(size).alias("m")).groupBy("tab", "eval_split").agg(F.sum("m").alias(name))
+    out = pairs.join(rows("e", "ne", "eval_rows"), ["tab", "eval_split"]).join(rows("t", "nt", "train_rows"), ["tab", "eval_split"]).join(own, ["tab", "eval_split"], "left")
+    less = lambda c: F.coalesce(c, F.lit(0))
+    return out.select(
+        links.source().alias("source"), "eval_split", (F.col("n") - less(F.col("own"))).alias("pairs"), "eval_rows", "train_rows", (F.col("n_same") - less(F.col("own_same"))).alias("exact"),
+    ).where("pairs > 0")
 
 
 def overlap_report(pairs: DataFrame) -> DataFrame:

@@ -82,7 +82,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.overlap_report(overlap.near_pairs(_split_tables(spark, d)))
+    return overlap.overlap_summary(overlap.near_links(_split_tables(spark, d)))
+
+
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each row with a split: its class of equal texts and how many classes across the split are near it."""
+    found = overlap.near_links(_split_tables(spark, d))
+    ends = found.pairs.select(F.explode(F.array("e", "t")).alias("fp")).groupBy("fp").agg(F.count("*").alias("links"))
+    return found.members.distinct().join(ends, "fp", "left").select(found.source().alias("source"), F.col("id").alias("case_id"), "split", F.col("fp").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -128,7 +135,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         p1_found, p1_by_dimension, p2_found, p2_survivors, p3_found, p3_redacted, p4_found, p4_consensus, p4_raters, p4_agreement,
-        p5_found, p5_report, p6_found, p6_collapsed, p7_found, p7_report, p8_selection, p8_shares, p9_found, p9_pages,
+        p5_found, p5_report, p5_classes, p6_found, p6_collapsed, p7_found, p7_report, p8_selection, p8_shares, p9_found, p9_pages,
     )
 }
 

@@ -116,3 +116,22 @@ def test_report(spark):
     rows = [(f"t{i}", x, "train") for i, x in enumerate(t)] + [("e", t[0], "dev"), ("f", t[1], "test")]
     got = {r["eval_split"]: (r["pairs"], r["exact"]) for r in O.overlap_report(O.near_pairs(table(spark, rows))).collect()}
     assert got == {"dev": (1, 1), "test": (1, 1)}
+
+
+def test_summary_counts_as_the_pairs_do(spark):
+    t, _ = texts(25, 8)
+    rows = [(f"t{i}", t[i % 20], "train") for i in range(60)] + [(f"e{i}", t[i % 12] + "。" * (i % 2), ("dev", "test")[i % 2]) for i in range(30)] + [("e1", t[1] + "。", "test")]
+    own = [("both", t[3], "train"), ("both", t[3], "dev")]  # a row on both sides is no pair with itself
+    for more, columns in (([], ("source", "eval_split", "pairs", "eval_rows", "train_rows", "exact")), (own, ("source", "eval_split", "pairs", "exact"))):
+        report = lambda df: {tuple(r[c] for c in columns) for r in df.collect()}
+        assert report(O.overlap_summary(O.near_links(table(spark, rows + more)))) == report(O.overlap_report(O.near_pairs(table(spark, rows + more)))) != set()
+
+
+def test_marks_keep_every_bucket_of_both_sides(spark):
+    rng = np.random.default_rng(3)
+    numbers = rng.integers(0, 2**40, (50, 2))
+    numbers[25:30] = numbers[:5]
+    df = spark.createDataFrame([(1 + (i >= 25), int(a), int(b)) for i, (a, b) in enumerate(numbers)], "side int, b0 long, b1 long")
+    marks = O._marks(df.repartition(3), ["b0", "b1"], 1 << 20)
+    kept = O._marked(marks[2], O._cells(numbers[:25].ravel(), 1 << 20)).reshape(-1, 2)
+    assert kept[:5].all() and kept[5:].mean() < 0.1
