@@ -8,7 +8,7 @@ across the split are kept, and each is verified by the exact Jaccard similarity
 
 Sizes: what is broadcast is the sketches (fixed size) and the few texts that hold over a thousandth of the
 rows each (at most a thousand). Copies of one text are one entry of a bucket, and an entry is shuffled only if
-a bitmap (of a size that grows with the entries up to 64 MB) says that the other side has its bucket too; a full
+a bitmap (of a size that grows with the entries up to 16 MB a side) says that the other side has its bucket too; a full
 bitmap costs shuffles, never pairs. No pair within a side and no pair of exact copies goes through the buckets.
 """
 
@@ -44,7 +44,7 @@ CHUNK = 1 << 12
 #: Rows up to which a list of text hashes is broadcast; beyond, the join is shuffled.
 SMALL_LIST = 200_000
 #: Binary logarithms of the bits of a bitmap of buckets; bits of a piece of it.
-LEAST_CELLS, MOST_CELLS, PIECE = 20, 29, 1 << 19
+LEAST_CELLS, MOST_CELLS, PIECE = 20, 27, 1 << 19
 
 
 @dataclass
@@ -231,14 +231,14 @@ def _weighted_counts(rows: DataFrame, tables: int, known: Broadcast, before: Bro
     return [c[:BUCKETS] for c in counts], [float(c[BUCKETS + 1] / c[BUCKETS]) if c[BUCKETS] else 1.0 for c in counts]
 
 
-def _marks(entries: DataFrame, bands_of: list[str], cells: int) -> dict[int, np.ndarray]:
+def _marks(entries: DataFrame, cells: int) -> dict[int, np.ndarray]:
     """For each side a bitmap of the cells that its bucket numbers fall into. Tasks send compressed pieces of
     their bitmaps, which are united before they are collected: ``cells`` bits a side, whatever the input."""
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = {1: np.zeros(cells, dtype=bool), 2: np.zeros(cells, dtype=bool)}
         for b in batches:
-            numbers, side = b[bands_of].to_numpy(), b["side"].to_numpy()
+            numbers, side = _longs(b["bands"]), b["side"].to_numpy()
             for k, own in bits.items():
                 own[_cells(numbers[side == k].ravel(), cells)] = True
         pack = zstandard.ZstdCompressor(level=1)
@@ -258,6 +258,11 @@ def _marks(entries: DataFrame, bands_of: list[str], cells: int) -> dict[int, np.
     return out
 
 
+def _longs(values: pd.Series) -> np.ndarray:
+    """Rows of binary values as a matrix of longs."""
+    return np.frombuffer(b"".join(values), dtype=np.int64).reshape(len(values), -1)
+
+
 def _cells(numbers: np.ndarray, cells: int) -> np.ndarray:
     return (mix64(numbers) & np.uint64(cells - 1)).astype(np.int64)
 
@@ -289,8 +294,6 @@ def near_links(tables: Mapping[str, tuple[DataFrame, str, str, str]], threshold:
     most = [frame_limit(n) for n in texts]
     shared = spark.sparkContext.broadcast(counts)
 
-    sk, bk = [f"s{i}" for i in range(SKETCH)], [f"b{i}" for i in range(BANDS)]
-
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for tab, part in b.groupby("tab"):
@@ -301,51 +304,54 @@ def near_links(tables: Mapping[str, tuple[DataFrame, str, str, str]], threshold:
                 out["head"] = ~out.duplicated(["fp", "side"]) & (np.diff(offsets) > 0)
                 heads = np.flatnonzero(out["head"])
                 flat, offsets2 = some_texts(flat, offsets, out["head"].to_numpy())
-                numbers = np.zeros((len(out), SKETCH + BANDS), dtype=np.int64)
+                columns: dict[str, list] = {"sketch": [None] * len(out), "bands": [None] * len(out)}
                 for where, found in grouped(flat, offsets2):
                     values = minhashes(kept(found, shared.value[int(tab)], most[int(tab)]))
-                    numbers[heads[where], :SKETCH] = sketches(values)
-                    numbers[heads[where], SKETCH:] = bands(values, int(tab) + 1)
-                out = pd.concat([out, pd.DataFrame(numbers, columns=sk + bk, index=out.index)], axis=1)
-                yield out[np.diff(offsets) > 0]
+                    for name, numbers in (("sketch", sketches(values)), ("bands", bands(values, int(tab) + 1))):
+                        raw, width = numbers.tobytes(), numbers.shape[1] * 8
+                        for j, i in enumerate(heads[where]):
+                            columns[name][i] = raw[j * width : (j + 1) * width]
+                yield out.assign(**columns)[np.diff(offsets) > 0]
 
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for tab, part in b.groupby("tab"):
                 yield part.assign(fp=fingerprints(*squeezed_flat(list(part["text"])), int(tab)))[["tab", "fp", "text"]]
 
-    # Plain columns of numbers: arrays would be converted row by row.
-    schema = "tab int, id string, side int, split string, fp long, head boolean, " + ", ".join(f"{c} long" for c in sk + bk)
+    # Numbers as bytes: arrays, and columns of their own, would be converted one by one.
+    schema = "tab int, id string, side int, split string, fp long, head boolean, sketch binary, bands binary"
     sketched = keep(rows.select("tab", "id", "text", "side", "split").mapInPandas(sketch, schema))
     heads = sketched.where("head")
     # A bucket number goes on only if its cell is marked on the other side too: of others no pair can come.
     cells = 1 << min(MOST_CELLS, max(LEAST_CELLS, int(heads.count() * BANDS * 4).bit_length()))
-    marks = spark.sparkContext.broadcast(_marks(heads.select("side", *bk), bk, cells))
+    marks = spark.sparkContext.broadcast(_marks(heads.select("side", "bands"), cells))
 
     def meeting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         other = {1: marks.value[2], 2: marks.value[1]}
         for b in batches:
-            numbers, side, fp = b[bk].to_numpy(), b["side"].to_numpy(), b["fp"].to_numpy()
+            numbers, side, fp = _longs(b["bands"]), b["side"].to_numpy(), b["fp"].to_numpy()
             for k, bits in other.items():
                 mine = numbers[side == k]
                 i, j = np.nonzero(_marked(bits, _cells(mine.ravel(), cells)).reshape(mine.shape))
                 yield pd.DataFrame({"side": np.full(len(i), k, dtype=np.int32), "band": mine[i, j], "fp": fp[side == k][i]})
 
-    # Heads are those of a batch: one entry is left of the copies of a text in all batches.
-    entries = heads.select("side", "fp", *bk).mapInPandas(meeting, "side int, band long, fp long").distinct()
+    # Heads are those of a batch: one entry is left of the copies of a text in all batches. The join by bucket finds
+    # the entries where the distinct left them.
+    entries = heads.select("side", "fp", "bands").mapInPandas(meeting, "side int, band long, fp long").repartition("band").distinct()
     ours = entries.where("side = 2").select("band", F.col("fp").alias("e"))
     theirs = entries.where("side = 1").select("band", F.col("fp").alias("t"))
     met = cut_table(ours.join(theirs, "band").where(F.col("e") != F.col("t")).select("e", "t").distinct())
     wanted = met.select(F.explode(F.array("e", "t")).alias("fp")).distinct()
     hint = F.broadcast if wanted.count() <= SMALL_LIST else (lambda x: x)
-    one = heads.join(hint(wanted), "fp", "left_semi").groupBy("fp").agg(*(F.min(c).alias(c) for c in sk))
-    candidates = met.join(one.select(F.col("fp").alias("e"), *(F.col(c).alias(f"e{c}") for c in sk)), "e")
-    candidates = candidates.join(one.select(F.col("fp").alias("t"), *(F.col(c).alias(f"t{c}") for c in sk)), "t")
+    one = heads.join(hint(wanted), "fp", "left_semi").groupBy("fp").agg(F.min("sketch").alias("sketch"))
+    candidates = met.join(one.select(F.col("fp").alias("e"), F.col("sketch").alias("es")), "e")
+    candidates = candidates.join(one.select(F.col("fp").alias("t"), F.col("sketch").alias("ts")), "t")
 
     def agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = np.ascontiguousarray(b[[f"e{c}" for c in sk]].to_numpy()).view(np.uint8)
-            y = np.ascontiguousarray(b[[f"t{c}" for c in sk]].to_numpy()).view(np.uint8)
+            if not len(b):
+                continue
+            x, y = _longs(b["es"]).view(np.uint8), _longs(b["ts"]).view(np.uint8)
             yield b[["e", "t"]][(x == y).mean(axis=1) >= LEAST_AGREE]
 
     likely = cut_table(candidates.mapInPandas(agree, "e long, t long"))

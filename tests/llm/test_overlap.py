@@ -131,7 +131,7 @@ def test_marks_keep_every_bucket_of_both_sides(spark):
     rng = np.random.default_rng(3)
     numbers = rng.integers(0, 2**40, (50, 2))
     numbers[25:30] = numbers[:5]
-    df = spark.createDataFrame([(1 + (i >= 25), int(a), int(b)) for i, (a, b) in enumerate(numbers)], "side int, b0 long, b1 long")
-    marks = O._marks(df.repartition(3), ["b0", "b1"], 1 << 20)
+    df = spark.createDataFrame([(1 + (i >= 25), bytearray(x.tobytes())) for i, x in enumerate(numbers)], "side int, bands binary")
+    marks = O._marks(df.repartition(3), 1 << 20)
     kept = O._marked(marks[2], O._cells(numbers[:25].ravel(), 1 << 20)).reshape(-1, 2)
     assert kept[:5].all() and kept[5:].mean() < 0.1
