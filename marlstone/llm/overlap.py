@@ -340,10 +340,8 @@ def near_links(tables: Mapping[str, tuple[DataFrame, str, str, str]], threshold:
     entries = heads.select("side", "fp", "bands").mapInPandas(meeting, "side int, band long, fp long").repartition("band").distinct()
     ours = entries.where("side = 2").select("band", F.col("fp").alias("e"))
     theirs = entries.where("side = 1").select("band", F.col("fp").alias("t"))
-    met = cut_table(ours.join(theirs, "band").where(F.col("e") != F.col("t")).select("e", "t").distinct())
-    wanted = met.select(F.explode(F.array("e", "t")).alias("fp")).distinct()
-    hint = F.broadcast if wanted.count() <= SMALL_LIST else (lambda x: x)
-    one = heads.join(hint(wanted), "fp", "left_semi").groupBy("fp").agg(F.min("sketch").alias("sketch"))
+    met = ours.join(theirs, "band").where(F.col("e") != F.col("t")).select("e", "t").distinct()
+    one = heads.groupBy("fp").agg(F.min("sketch").alias("sketch"))
     candidates = met.join(one.select(F.col("fp").alias("e"), F.col("sketch").alias("es")), "e")
     candidates = candidates.join(one.select(F.col("fp").alias("t"), F.col("sketch").alias("ts")), "t")
 
