@@ -131,11 +131,15 @@ def p9_pages(spark: SparkSession, d: str) -> DataFrame:
     return spam.score_pages(table(spark, d, "documents"))
 
 
+def p9_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam_report(spam.score_pages(table(spark, d, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         p1_found, p1_by_dimension, p2_found, p2_survivors, p3_found, p3_redacted, p4_found, p4_consensus, p4_raters, p4_agreement,
-        p5_found, p5_report, p5_classes, p6_found, p6_collapsed, p7_found, p7_report, p8_selection, p8_shares, p9_found, p9_pages,
+        p5_found, p5_report, p5_classes, p6_found, p6_collapsed, p7_found, p7_report, p8_selection, p8_shares, p9_found, p9_pages, p9_reasons,
     )
 }
 

@@ -4,7 +4,9 @@ Words are Han characters, words of other letters, and one word each for a link,
 Counts of words and of neighbouring pairs over the corpus, each text once up to form, held in count sketches
 of fixed size, give each page
 
-- ``pmi``: the mean pointwise mutual information of its neighbouring words, low for word salad;
+- ``pmi``: the mean pointwise mutual information of its neighbouring words;
+- ``coherence``: by how much it exceeds that of the same words shuffled, over pairs of words that the rest of the
+  corpus knows. About 0 for word salad, whatever its words and the size of the corpus;
 - ``repeated``: the share of its pairs that occur three times or more in it, and ``burst``: how far these
   collocations exceed their share of the corpus (their part of the divergence of page from corpus);
 - ``kinds``: different pairs by pairs, which is low where little but the same collocations comes, however
@@ -12,7 +14,8 @@ of fixed size, give each page
 - ``links``: the share of links and tags among its words.
 
 A page is spam if repeated collocations dominate it, if links and tags are dense, or if its neighbours
-are independent of each other. The page's own counts are taken off the corpus counts.
+are independent of each other. The page's own counts are taken off the corpus counts. The sketches get four
+cells for each word of the corpus, up to 2^MOST_CELLS; with more distinct pairs than cells ``burst`` gets too small.
 """
 
 from __future__ import annotations
@@ -28,13 +31,16 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.common import mix64, squeezed_column
 
-#: Thresholds: of burst times repeated share, of links and tags among words, of mean PMI; least words of a page.
-LEAST_REPETITION, LEAST_LINKS, LEAST_PMI, LEAST_WORDS = 1.7, 0.125, 0.5, 12
+#: Thresholds: of burst times repeated share, of links and tags among words; least words of a page.
+LEAST_REPETITION, LEAST_LINKS, LEAST_WORDS = 1.7, 0.125, 12
+#: Word salad: coherence below the first, in at least so many pairs of known words that are that share of all. A
+#: word is known if the rest of the corpus has it so often. Shuffled pages stay below 0.6 here, all others are above 2.6.
+LEAST_COHERENCE, KNOWN_PAIRS, KNOWN_SHARE, KNOWN = 1.0, 30, 0.5, 20
 #: Repeated share and kinds from which repetition is excessive whatever the corpus holds.
 MOST_REPEATED, FEW_KINDS = 0.75, 0.3
 REPEATS = 3
 #: Cells of a sketch row, and rows: the least of the rows is the estimate.
-WORD_CELLS, PAIR_CELLS, DEPTH = 1 << 17, 1 << 19, 2
+LEAST_CELLS, MOST_CELLS, DEPTH = 17, 21, 2
 CHUNK = 1 << 13
 
 LINK = re.compile(r"<a\s[^>]*>|</a>|(?:https?://|ftp://|www\.)[^\s)>\]\"'<，。；]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+/[^\s)>\]\"'<，。；]*", re.I)
@@ -101,9 +107,15 @@ def distinct_texts(texts: DataFrame) -> DataFrame:
     return texts.where("t is not null").groupBy(F.xxhash64(squeezed_column(F.col("t"))).alias("h")).agg(F.min("t").alias("t")).select("t")
 
 
-def corpus_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, float, float]:
-    """Sketches of the word and of the pair counts over the column ``t``, and the totals."""
-    sizes = {"w": WORD_CELLS, "p": PAIR_CELLS}
+def cells_for(words: float) -> int:
+    """Cells of a row of a sketch for so many words of the corpus."""
+    return 1 << min(MOST_CELLS, max(LEAST_CELLS, int(4 * words).bit_length()))
+
+
+def corpus_counts(texts: DataFrame, most_words: float) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Sketches of the word and of the pair counts over the column ``t`` of at most so many words, and the totals."""
+    cells = cells_for(most_words)
+    sizes = {"w": cells, "p": cells}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = {k: np.zeros((DEPTH, n)) for k, n in sizes.items()}
@@ -150,33 +162,62 @@ def page_features(texts: list[str | None], hashes: _Hashes, word_counts: np.ndar
     repeated = np.bincount(who[often], weights=share[often], minlength=n)
     gain = share * np.log(share / (others / (n_pairs + 1)))
     burst = np.bincount(who[often], weights=gain[often], minlength=n)
-    # Mean PMI over the pairs, with the page's own counts taken off.
-    word_at = np.lexsort((w, owner))
-    ws, wo = w[word_at], owner[word_at]
-    fresh = np.ones(len(ws), dtype=bool)
-    fresh[1:] = (ws[1:] != ws[:-1]) | (wo[1:] != wo[:-1])
-    first = np.flatnonzero(fresh)
-    own_sorted = np.repeat(np.diff(np.append(first, len(ws))), np.diff(np.append(first, len(ws))))
-    own = np.empty(len(w))
-    own[word_at] = own_sorted
-    rest = np.maximum(estimate(word_counts, w) - own, 0) + 1
+    # PMI of neighbours and of the same words shuffled, with the page's own counts taken off.
+    rest = np.maximum(estimate(word_counts, w) - _own_counts(w, owner), 0)
+    log_share, known = np.log((rest + 1) / (n_words + 1)), rest >= KNOWN
     inner = np.flatnonzero(owner[1:] == owner[:-1]) if len(owner) > 1 else np.zeros(0, dtype=np.int64)
+
+    def pmi_of(order: np.ndarray, hashes: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        joint = np.log((np.maximum(estimate(pair_counts, hashes) - own, 0) + 0.5) / (n_pairs + 1))
+        a, b = order[inner], order[inner + 1]
+        return joint - log_share[a] - log_share[b], known[a] & known[b]
+
     c_of = np.empty(len(p))
     c_of[order] = np.repeat(c, c.astype(np.int64))
-    joint = (np.maximum(estimate(pair_counts, p) - c_of, 0) + 0.5) / (n_pairs + 1)
-    pmi = np.log(joint) - np.log(rest[inner] / (n_words + 1)) - np.log(rest[inner + 1] / (n_words + 1))
+    pmi, both = pmi_of(np.arange(len(w)), p, c_of)
+    with np.errstate(over="ignore"):
+        at = np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)
+        mixed = np.lexsort((mix64(w + at.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)), owner))
+        q = mix64(w[mixed][:-1] * np.uint64(0x9E3779B97F4A7C15) + w[mixed][1:])[inner] if len(w) > 1 else w[:0]
+        mine = mix64(kind + who.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+        asked = mix64(q + pair_owner.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    by = np.argsort(mine)
+    spot = np.minimum(np.searchsorted(mine[by], asked), max(0, len(by) - 1))
+    own = np.where(mine[by][spot] == asked, c[by][spot], 0) if len(by) else np.zeros(len(q))
+    mixed_pmi, mixed_both = pmi_of(mixed, q, own)
     mean = np.bincount(pair_owner, weights=pmi, minlength=n) / pairs
+
+    def over_known(values: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        m = np.bincount(pair_owner[which], minlength=n)
+        return np.bincount(pair_owner[which], weights=values[which], minlength=n) / np.maximum(m, 1), m
+
+    (real, n_real), (chance, n_chance) = over_known(pmi, both), over_known(mixed_pmi, mixed_both)
+    enough = (np.minimum(n_real, n_chance) >= KNOWN_PAIRS) & (np.minimum(n_real, n_chance) >= KNOWN_SHARE * pairs)
     kinds = np.bincount(who, minlength=n) / pairs
-    return pd.DataFrame({"words": size, "links": links, "repeated": repeated, "burst": burst, "kinds": kinds, "pmi": mean})
+    coherence = np.where(enough, real - chance, np.nan)
+    return pd.DataFrame({"words": size, "links": links, "repeated": repeated, "burst": burst, "kinds": kinds, "pmi": mean, "coherence": coherence})
+
+
+def _own_counts(w: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """How often each word occurs in its own text."""
+    order = np.lexsort((w, owner))
+    ws, wo = w[order], owner[order]
+    fresh = np.ones(len(ws), dtype=bool)
+    fresh[1:] = (ws[1:] != ws[:-1]) | (wo[1:] != wo[:-1])
+    counts = np.diff(np.append(np.flatnonzero(fresh), len(ws)))
+    own = np.empty(len(w))
+    own[order] = np.repeat(counts, counts)
+    return own
 
 
 def score_pages(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``df``: key, ``words``, ``links``, ``repeated``, ``burst``, ``kinds``, ``pmi`` and ``spam`` with
-    ``reason`` (links, repetition, salad, null). Null and empty texts have no words and are no spam, nor are
+    """One row per row of ``df``: key, ``words``, ``links``, ``repeated``, ``burst``, ``kinds``, ``pmi``, ``coherence`` (null
+    where too few of its words are known) and ``spam`` with ``reason`` (links, repetition, salad, null). Null and empty texts have no words and are no spam, nor are
     pages of fewer than LEAST_WORDS words; texts are read whole; repeated rows stay; extra columns are
     ignored; an empty table gives an empty one."""
     rows = df.select(F.col(key).alias("d"), F.col(text).cast("string").alias("t"))
-    shared = df.sparkSession.sparkContext.broadcast(corpus_counts(distinct_texts(rows.select("t"))))
+    chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0  # no text has more words than characters
+    shared = df.sparkSession.sparkContext.broadcast(corpus_counts(distinct_texts(rows.select("t")), chars))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _Hashes()
@@ -186,15 +227,21 @@ def score_pages(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
             yield f
 
     kind = dict(rows.dtypes)["d"]
-    out = rows.mapInPandas(score, f"d {kind}, words long, links double, repeated double, burst double, kinds double, pmi double")
+    out = rows.mapInPandas(score, f"d {kind}, words long, links double, repeated double, burst double, kinds double, pmi double, coherence double")
     enough = F.col("words") >= LEAST_WORDS
     reason = (
         F.when(enough & (F.col("links") >= LEAST_LINKS), "links")
         .when(enough & ((F.col("burst") * F.col("repeated") >= LEAST_REPETITION) | ((F.col("repeated") >= MOST_REPEATED) & (F.col("kinds") <= FEW_KINDS))), "repetition")
-        .when((F.col("words") >= 3 * LEAST_WORDS) & (F.col("pmi") < LEAST_PMI), "salad")
+        .when(enough & (F.col("coherence") < LEAST_COHERENCE), "salad")
     )
+    out = out.withColumn("coherence", F.nanvl("coherence", F.lit(None).cast("double")))
     return out.withColumn("reason", reason).withColumn("spam", F.col("reason").isNotNull()).withColumnRenamed("d", key)
 
 
+def spam_report(pages: DataFrame) -> DataFrame:
+    """(reason, pages) of a table that ``score_pages`` made."""
+    return pages.where("spam").groupBy("reason").agg(F.count("*").alias("pages"))
+
+
 def spam_pages(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return score_pages(df, key, text).where("spam").select(key).distinct()

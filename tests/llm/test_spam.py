@@ -67,3 +67,21 @@ def test_empty_and_long(spark):
 @pytest.mark.parametrize("text,want", [("a https://x.example/y b", ["a", "\x01", "b"]), ("#标签 字", ["\x02", "字"]), ("￥12 SKU99881 Don't", ["\x03", "\x03", "don't"]), (None, [])])
 def test_words(text, want):
     assert spam.words(text) == want
+
+
+def test_salad_of_the_corpus_own_words_and_what_is_none(spark):
+    """Words of real pages in drawn order are salad, in any frequency; the pages, foreign texts and rare words are not."""
+    t = [r[0] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").orderBy("doc_id").select("text").collect()]
+    rng = random.Random(5)
+    known = [x for x in t if len(spam.words(x)) >= 60][:40]
+
+    def shuffled(x):
+        w = spam.words(x)
+        rng.shuffle(w)
+        return " ".join(w)
+
+    salads = [(100_000 + i, shuffled(x)) for i, x in enumerate(known)]
+    foreign = [(200_000, " ".join(f"zq{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)))]
+    got = {r["doc_id"]: r["reason"] for r in spam.score_pages(spark.createDataFrame(list(enumerate(t)) + salads + foreign, "doc_id bigint, text string")).collect()}
+    assert sum(got[i] is not None for i, _ in salads) >= 38 and sum(got[i] == "salad" for i, _ in salads) >= 36
+    assert got[200_000] is None and not any(got[i] == "salad" for i in range(len(t)))
