@@ -42,6 +42,8 @@ REPEATS = 3
 #: Cells of a sketch row, and rows: the least of the rows is the estimate.
 LEAST_CELLS, MOST_CELLS, DEPTH = 17, 21, 2
 CHUNK = 1 << 13
+#: Texts that are worked on at once.
+BLOCK = 200
 
 LINK = re.compile(r"<a\s[^>]*>|</a>|(?:https?://|ftp://|www\.)[^\s)>\]\"'<，。；]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+/[^\s)>\]\"'<，。；]*", re.I)
 TAG = re.compile(r"[#＃](?=[^\s#＃])[^\s#＃]*[#＃]?")
@@ -52,10 +54,12 @@ WORD = re.compile(r"[\x01\x02\x03]|[㐀-鿿豈-﫿぀-ヿ가-힯]|[^\W\d_㐀-鿿
 def words(text: str | None) -> list[str]:
     if not text:
         return []
-    text = LINK.sub(" \x01 ", text)
-    text = TAG.sub(" \x02 ", text)
-    text = NUMBER.sub(" \x03 ", text)
-    return WORD.findall(text.lower())
+    low = text.lower()
+    if "/" in low or "www." in low or "<a" in low:  # each kind of link has one of these
+        text = LINK.sub(" \x01 ", text)
+    if "#" in text or "＃" in text:
+        text = TAG.sub(" \x02 ", text)
+    return WORD.findall(NUMBER.sub(" \x03 ", text).lower())
 
 
 class _Hashes:
@@ -83,9 +87,10 @@ _LINKS = np.array(_Hashes().of(["\x01", "\x02"]), dtype=np.uint64)
 
 def _flat(texts: list[str | None], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of all texts, text of each, hashes of neighbouring pairs, text of each."""
-    lists = [hashes.of(words(t)) for t in texts]
+    lists = [words(t) for t in texts]
     sizes = np.array([len(x) for x in lists], dtype=np.int64)
-    w = np.fromiter((h for x in lists for h in x), dtype=np.uint64, count=int(sizes.sum()))
+    codes, kinds = pd.factorize(np.array([x for y in lists for x in y], dtype=object))
+    w = np.array(hashes.of(list(kinds)), dtype=np.uint64)[codes] if len(codes) else np.zeros(0, dtype=np.uint64)
     owner = np.repeat(np.arange(len(lists)), sizes)
     same = owner[1:] == owner[:-1] if len(owner) > 1 else np.zeros(0, dtype=bool)
     with np.errstate(over="ignore"):
@@ -93,6 +98,12 @@ def _flat(texts: list[str | None], hashes: _Hashes) -> tuple[np.ndarray, np.ndar
     return w, owner, pairs, owner[:-1][same] if len(owner) > 1 else owner[:0]
 
 
+def _blocks(texts: pd.Series) -> Iterator[list[str | None]]:
+    """The texts of a batch, few at a time: what is computed for a block is many times as large as its texts."""
+    for i in range(0, len(texts), BLOCK):
+        yield list(texts.iloc[i : i + BLOCK])
+
+
 def _cell(h: np.ndarray, row: int, cells: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         return (mix64(h + np.uint64(row * 0x51ED27)) & np.uint64(cells - 1)).astype(np.int64)
@@ -118,16 +129,17 @@ def corpus_counts(texts: DataFrame, most_words: float) -> tuple[np.ndarray, np.n
     sizes = {"w": cells, "p": cells}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = {k: np.zeros((DEPTH, n)) for k, n in sizes.items()}
+        sums = {k: np.zeros((DEPTH, n), dtype=np.uint32) for k, n in sizes.items()}
         hashes = _Hashes()
         for b in batches:
-            w, _, p, _ = _flat(list(b["t"]), hashes)
-            for k, h in (("w", w), ("p", p)):
-                for r in range(DEPTH):
-                    sums[k][r] += np.bincount(_cell(h, r, sizes[k]), minlength=sizes[k])
+            for texts in _blocks(b["t"]):
+                w, _, p, _ = _flat(texts, hashes)
+                for k, h in (("w", w), ("p", p)):
+                    for r in range(DEPTH):
+                        np.add.at(sums[k][r], _cell(h, r, sizes[k]), np.uint32(1))
         for k, n in sums.items():
-            parts = n.astype(np.float32).reshape(-1, CHUNK)
-            yield pd.DataFrame({"k": k, "chunk": range(len(parts)), "counts": [x.tobytes() for x in parts]})
+            parts = n.reshape(-1, CHUNK)
+            yield pd.DataFrame({"k": k, "chunk": range(len(parts)), "counts": [x.astype(np.float32).tobytes() for x in parts]})
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(CHUNK)
@@ -222,9 +234,11 @@ def score_pages(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _Hashes()
         for b in batches:
-            f = page_features(list(b["t"]), hashes, *shared.value)
-            f.insert(0, "d", b["d"].to_numpy())
-            yield f
+            parts = [page_features(texts, hashes, *shared.value) for texts in _blocks(b["t"])]
+            if parts:
+                f = pd.concat(parts, ignore_index=True)
+                f.insert(0, "d", b["d"].to_numpy())
+                yield f
 
     kind = dict(rows.dtypes)["d"]
     out = rows.mapInPandas(score, f"d {kind}, words long, links double, repeated double, burst double, kinds double, pmi double, coherence double")
