@@ -47,7 +47,8 @@ NAME_ZH = (
     ("verb", re.compile(rf"(?:由|换成|感谢|多亏|我和|我跟|我与|联系|请教|找到|交给|委托)({_SUR}[一-鿿]{{1,2}}?)(?=同学|老师|教授|博士|先生|女士|师兄|师姐|学长|学姐|负责|整理|分工|带我|带领|当时|完成|一起|记录|指导|提供|接手|共同|协助)")),
     ("title", re.compile(rf"(?:^|(?<=[，。,.;；、！!？?\s）)]))({_SUR}[一-鿿]{{1,2}}?)(?=\s*[（(](?:组长|队长|导师|老师|同学|学生|助教|负责人|男|女)[）)]|同学(?:负责|说|提出|完成)|老师(?:当时|说|指导))")),
 )
-NAME_EN = re.compile(r"(?<![0-9A-Za-z_.@-])([A-Z][a-z'’-]+(?: [A-Z]\.)? [A-Z][a-z'’]+(?:-[A-Z][a-z]+)?)(?![0-9A-Za-z_@])")
+_CAP, _LOW = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"
+NAME_EN = re.compile(rf"(?<![\w.@-])([{_CAP}][{_LOW}'’-]+(?: [{_CAP}]\.)? [{_CAP}][{_LOW}'’]+(?:-[{_CAP}][{_LOW}]+)?)(?![0-9A-Za-z_@])")
 # Words before and after English names, words that are no part of a name.
 EN_LEFT = re.compile(r"(?:\bname(?: is|:)|\bcalled|\bworked with|\bthanks to|\bLater,?|\bDr\.?|\bProf\.?|\bMr\.?|\bMs\.?|\bMrs\.?|\b(?:by|with|from|and|ask|asked|met|contact|applicant:?|referee:?|author:?|signed:?))\s*$", re.I)
 EN_RIGHT = re.compile(r"^\s*(?:took over|checked|and I\b|on the draft|for the (?:hint|help)|helped|said|wrote|joined|led|reviewed|suggested|agreed|,? who\b)", re.I)
@@ -85,10 +86,12 @@ PRIOR = {
     "phone:bias": 0.0, "phone:country": 2.0, "phone:area": 1.5, "phone:grouped": 1.5, "phone:mobile": 1.0, "phone:for": 2.0, "phone:against": -5.0,
     "id_number:bias": 0.0, "id_number:dated": 2.0, "id_number:eighteen": -1.0, "id_number:student": -0.5, "id_number:for": 3.0, "id_number:against": -5.0,
     "address:bias": 2.0, "address:zh": 1.0, "address:en": 1.0, "address:for": 1.0, "address:against": 0.0,
-    "name:bias": -1.0, "name:label": 4.0, "name:self": 3.0, "name:verb": 3.0, "name:title": 3.0, "name:cap": -0.5, "name:left": 2.0, "name:right": 2.0, "name:repeat": 0.0, "name:not": -8.0,
+    "name:bias": -1.0, "name:label": 4.0, "name:self": 3.0, "name:verb": 3.0, "name:title": 3.0, "name:cap": -0.5, "name:left": 2.0, "name:right": 2.0, "name:repeat": 0.0, "name:part": 0.9, "name:not": -8.0,
+    "skip:same": 2.5, "skip:similar": 1.5, "chain:": 0.2,
 }
-#: Skip potentials for the same and for similar texts, and the chain potential of two details in a row.
-SAME, SIMILAR, CHAIN = 2.5, 1.0, 0.2
+# skip: potentials for equal labels of the same text and of texts that share a part; chain: of two details in a row.
+#: Labelled pairs that the prior of a skip potential counts for.
+PRIOR_PAIRS = 40
 
 
 @dataclass
@@ -152,9 +155,13 @@ def candidates(text: str) -> list[Span]:
         if capitals and len(features) < 3:
             continue
         add(m.start(1), m.end(1), "name", features)
-    for name in {s.text for s in found if "name" in s.kinds}:  # the same name elsewhere
+    names = {s.text for s in found if "name" in s.kinds}
+    for name in sorted(names):  # the same name elsewhere
         for m in re.finditer(re.escape(name), wide):
             add(m.start(), m.end(), "name", ["repeat"])
+    for part in sorted({p for name in names if name[0] < "\u2e80" for p in _parts(name)}):  # and a part of it alone
+        for m in re.finditer(rf"(?<![\w.@-]){re.escape(part.capitalize())}(?![\w@])", wide):
+            add(m.start(), m.end(), "name", ["part"])
     return sorted(found, key=lambda s: s.start)
 
 
@@ -162,31 +169,44 @@ def _core(text: str) -> str:
     return re.sub(r"[\W_]", "", text).lower()
 
 
-def label(spans: list[Span], weights: dict[str, float], rounds: int = 12) -> list[str | None]:
-    """The labels of the spans: max-product messages over chain and skip edges until they settle."""
+def _parts(name: str) -> set[str]:
+    """Parts by which a name may be meant: words of a spaced name, the given name of another."""
+    if name[:1] < "\u2e80":
+        return {p for p in re.split(r"[ -]", name.lower()) if len(p) > 2 and p.isalpha() and p not in EN_STOP}
+    return {name, name[-2:]}
+
+
+def skip_edges(spans: list[Span]) -> dict[tuple[int, int], str]:
+    """Pairs of spans that share potentials, at any distance: ``same`` text but for form, or names with a common
+    part (``similar``). A chain through all places of one text or part keeps them linear."""
+    edges: dict[tuple[int, int], str] = {}
+    by: dict[tuple[str, str], list[int]] = {}
+    for i, s in enumerate(spans):
+        by.setdefault(("same", _core(s.text)), []).append(i)
+        if "name" in s.kinds:
+            for part in _parts(s.text):
+                by.setdefault(("similar", part), []).append(i)
+    for (kind, _), places in by.items():
+        for a, b in zip(places, places[1:]):
+            if kind == "same" or edges.get((a, b)) is None:
+                edges[a, b] = kind
+    return edges
+
+
+def label(spans: list[Span], weights: dict[str, float]) -> list[str | None]:
+    """The labels of the spans: damped max-product messages over chain and skip edges until they settle; loops that
+    do not are left after 50 rounds and 4 for each span."""
     unary = [{None: 0.0} | {k: sum(weights.get(f, 0.0) for f in fs) for k, fs in s.kinds.items()} for s in spans]
     n = len(spans)
-    edges: dict[tuple[int, int], float] = {}
-    if n > 1:
-        cores = [_core(s.text) for s in spans]
-        for i in range(n - 1):
-            edges[i, i + 1] = 0.0
-        by_core: dict[str, list[int]] = {}
-        for i, c in enumerate(cores):
-            by_core.setdefault(c, []).append(i)
-        for places in by_core.values():  # a chain through all places of one text keeps edges linear
-            for a, b in zip(places, places[1:]):
-                edges[a, b] = SAME
-        names = [i for i, s in enumerate(spans) if "name" in s.kinds]
-        for a, b in zip(names, names[1:]):
-            if cores[a] != cores[b] and (cores[a] in cores[b] or cores[b] in cores[a]):
-                edges[a, b] = SIMILAR
+    edges = dict.fromkeys(((i, i + 1) for i in range(n - 1)), 0.0)
+    edges |= {e: weights.get(f"skip:{kind}", 0.0) for e, kind in skip_edges(spans).items()} if n > 1 else {}
+    chain = weights.get("chain:", 0.0)
     if not edges:
         return [max(u, key=lambda k: u[k]) for u in unary]
 
     def pair(e: tuple[int, int], x: str | None, y: str | None) -> float:
         skip = edges[e]
-        return (skip if x == y else 0.0) + (CHAIN if e[1] == e[0] + 1 and x and y else 0.0)
+        return (skip if x == y else 0.0) + (chain if e[1] == e[0] + 1 and x and y else 0.0)
 
     around: list[list[int]] = [[] for _ in range(n)]
     message: dict[tuple[int, int], dict[str | None, float]] = {}
@@ -195,7 +215,7 @@ def label(spans: list[Span], weights: dict[str, float], rounds: int = 12) -> lis
         around[b].append(a)
         message[a, b] = dict.fromkeys(unary[b], 0.0)
         message[b, a] = dict.fromkeys(unary[a], 0.0)
-    for _ in range(rounds):
+    for _ in range(50 + 4 * n):
         change = 0.0
         for a, b in list(message):
             e = (a, b) if (a, b) in edges else (b, a)
@@ -229,16 +249,25 @@ def redact(text: str | None, weights: dict[str, float] = PRIOR) -> str | None:
 
 
 def fit(texts: list[str], pull: float = 0.05, steps: int = 120, rate: float = 0.5) -> dict[str, float]:
-    """Weights by gradient ascent of the pseudo-likelihood of self-labelled candidates, held near the prior."""
+    """Weights by gradient ascent of the pseudo-likelihood of self-labelled candidates, held near the prior; skip
+    potentials are the log odds that self-labelled ends of their edges agree."""
     rows: list[tuple[list[str], float]] = []
+    agree = {k: [PRIOR_PAIRS / (1 + np.exp(sign * PRIOR[f"skip:{k}"])) for sign in (1, -1)] for k in ("same", "similar")}
     for t in texts:
-        for s in candidates(t):
-            for kind, fs in s.kinds.items():
+        spans = candidates(t)
+        known: dict[int, float] = {}
+        for i, s in enumerate(spans):
+            for fs in s.kinds.values():
                 told = {f.split(":")[1] for f in fs}
                 if "against" in told or "not" in told:
-                    rows.append((fs, 0.0))
+                    known[i] = 0.0
                 elif told & {"for", "label", "self"} and "eighteen" not in told:
-                    rows.append((fs, 1.0))
+                    known[i] = 1.0
+                if i in known:
+                    rows.append((fs, known[i]))
+        for (a, b), kind in skip_edges(spans).items():
+            if a in known and b in known:
+                agree[kind][known[a] == known[b]] += 1
     names = list(PRIOR)
     at = {f: i for i, f in enumerate(names)}
     prior = np.array([PRIOR[f] for f in names])
@@ -252,7 +281,12 @@ def fit(texts: list[str], pull: float = 0.05, steps: int = 120, rate: float = 0.
     for _ in range(steps):
         p = 1 / (1 + np.exp(-x @ w))
         w += rate * (x.T @ (y - p) / len(rows) - pull * (w - prior))
-    return dict(zip(names, w.tolist()))
+    return dict(zip(names, w.tolist())) | {f"skip:{k}": float(np.log(yes / no)) for k, (no, yes) in agree.items()}
+
+
+def without_edges(weights: dict[str, float]) -> dict[str, float]:
+    """The same weights, each span for itself."""
+    return {f: 0.0 if f.startswith(("skip:", "chain:")) else w for f, w in weights.items()}
 
 
 def may_hold(text: Column) -> Column:
@@ -262,7 +296,7 @@ def may_hold(text: Column) -> Column:
     blank = r"[\s\p{Z}\x1c-\x1f\x85]*"
     patterns = (
         r"\p{Nd}[\p{Nd} .()+\-]{6,}\p{Nd}|@|[\[({] ?(?i:at) ?[\])}]|\w\s+(?i:at)\s+\S|[道路街巷同弄]" + blank + r"\p{Nd}+" + blank
-        + r"号|\p{Nd} [A-Z][^ ]+ |[A-Z][a-z'’-]+(?: [A-Z]\.)? [A-Z][a-z'’]|[A-Z]{1,3}\p{Nd}{4}"
+        + r"号|\p{Nd} [A-Z][^ ]+ |[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'’-]+(?: [A-ZÀ-ÖØ-Þ]\.)? [A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'’]|[A-Z]{1,3}\p{Nd}{4}"
     )
     names = f"姓名|申请人|联系人|推荐人|报名人|考生|签名|署名|作者|我叫|我的名字|名叫|本人|我是|(?:由|换成|感谢|多亏|我和|我跟|我与|联系|请教|找到|交给|委托)(?:{COMPOUND}|[{SURNAMES}])|[（(](?:组长|队长|导师|老师|同学|学生|助教|负责人|男|女)[）)]|同学(?:负责|说|提出|完成)|老师(?:当时|说|指导)"
     return text.rlike(patterns) | text.rlike(names)
@@ -291,6 +325,26 @@ def personal_details(df: DataFrame, key: str, text: str, weights: dict[str, floa
     return some.mapInPandas(run, "k string, kind string").groupBy("k", "kind").agg(F.count("*").alias("details")).withColumnRenamed("k", key)
 
 
+def field_effect(df: DataFrame, text: str, weights: dict[str, float] | None = None) -> DataFrame:
+    """One row: ``texts`` with candidates, ``spans`` labelled, and ``settled_by_edges``: spans whose label the edges of
+    the field change, either way. Each text counts once."""
+    rows = df.select(F.col(text).cast("string").alias("t")).distinct()
+    weights = fit_weights(rows, "t") if weights is None else weights
+    alone = without_edges(weights)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            counts = []
+            for t in b["t"]:
+                spans = candidates(t)
+                both = list(zip(label(spans, weights), label(spans, alone)))
+                counts.append((int(bool(spans)), sum(x is not None for x, _ in both), sum(x != y for x, y in both)))
+            yield pd.DataFrame(counts, columns=["texts", "spans", "settled_by_edges"])
+
+    found = rows.where(F.coalesce(may_hold(F.col("t")), F.lit(False))).mapInPandas(run, "texts long, spans long, settled_by_edges long")
+    return found.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in found.columns))
+
+
 def redacted(df: DataFrame, text: str, out: str = "redacted", weights: dict[str, float] | None = None) -> DataFrame:
     """``df`` with a column ``out``: the text with typed placeholders for personal details and the rest
     unchanged. A column of that name must not exist yet. Null stays null. Rows and their order within

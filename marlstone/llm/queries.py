@@ -53,6 +53,14 @@ def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def p3_field(spark: SparkSession, d: str) -> DataFrame:
+    out = None
+    for name, _, text in _PII_TABLES:
+        one = pii.field_effect(table(spark, d, name), text).select(F.lit(name).alias("source"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return consensus.careless_raters(table(spark, d, "public_human_grading"))
 
@@ -138,7 +146,7 @@ def p9_reasons(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_by_dimension, p2_found, p2_survivors, p3_found, p3_redacted, p4_found, p4_consensus, p4_raters, p4_agreement,
+        p1_found, p1_by_dimension, p2_found, p2_survivors, p3_found, p3_redacted, p3_field, p4_found, p4_consensus, p4_raters, p4_agreement,
         p5_found, p5_report, p5_classes, p6_found, p6_collapsed, p7_found, p7_report, p8_selection, p8_shares, p9_found, p9_pages, p9_reasons,
     )
 }

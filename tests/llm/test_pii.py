@@ -77,3 +77,29 @@ def test_the_prefilter_is_wider_than_the_shapes(spark):
     emails = df.where("t like 'zhang%'")
     assert {r["redacted"] for r in pii.redacted(emails, "t", weights=pii.PRIOR).collect()} == {"<EMAIL>"}
     assert pii.personal_details(emails, "t", "t", pii.PRIOR).where("kind = 'email'").count() == 4
+
+
+def test_distant_mentions_are_settled_by_the_edges(spark):
+    """Labels that one span alone does not get: a bare repeat, a part of a name, a number without a telling word."""
+    far = "Nothing else of note happened in the long review. " * 20
+    texts = {
+        "姓名：翟棠苒。" + "当时的安排没有变化。" * 30 + "后面又写到翟棠苒做了记录。": ("name", 2),
+        f"I worked with Mirel Vaskero on the draft. {far}Then Vaskero left.": ("name", 2),
+        f"The applicant: José García. {far}Then García left.": ("name", 2),
+        f"ID card no. 905587736783320142. {far}The slip 905587736783320142 was printed.": ("id_number", 2),
+    }
+    alone = pii.without_edges(pii.PRIOR)
+    for t, (kind, n) in texts.items():
+        assert [k for *_, k in pii.find(t)] == [kind] * n, t
+        assert len(pii.find(t, alone)) == n - 1, t
+    df = spark.createDataFrame([(t,) for t in [*texts, *texts, "", None]], "t string")
+    assert pii.field_effect(df, "t", pii.PRIOR).first().asDict() == {"texts": 4, "spans": 8, "settled_by_edges": 4}
+    assert df.where("t <> ''").where(~pii.may_hold(df["t"])).count() == 0
+
+
+def test_skip_potentials_are_fitted():
+    """Repeats that contradict each other lower the potential of the same text, repeats that agree raise it."""
+    same = pii.PRIOR["skip:same"]
+    agree = [f"电话：1381234{i:04d}，手机1381234{i:04d}。" for i in range(60)]
+    contradict = [f"电话：1381234{i:04d}。当时另一份表里的日志序号1381234{i:04d}。" for i in range(60)]
+    assert pii.fit(agree)["skip:same"] > same > pii.fit(contradict)["skip:same"]
