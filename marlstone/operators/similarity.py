@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as X
-from marlstone.session import cut_table
+from marlstone.session import cut_table, drop_table
 
 
 def words(col: Column) -> Column:
@@ -123,12 +123,15 @@ def components(nodes: DataFrame, edges: DataFrame, node: str, max_rounds: int =
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = cut_table(both)
     labels = nodes.select(F.col(node).alias("v"), F.col(node).alias("l")).distinct()
+    before = None
     for _ in range(max_rounds):
         near = both.join(labels, both["b"] == labels["v"]).groupBy("a").agg(F.min("l").alias("m"))
         step = labels.join(near, labels["v"] == near["a"], "left").select("v", "l", F.least("l", "m").alias("m"))
         jump = step.select(F.col("v").alias("x"), F.col("m").alias("mm"))
         after = cut_table(step.join(jump, step["m"] == jump["x"], "left").select("v", "l", F.least("m", F.coalesce("mm", "m")).alias("m")))
         changed = after.where("l <> m").limit(1).count()
+        drop_table(before)
+        before = after
         labels = after.select("v", F.col("m").alias("l"))
         if not changed:
             return labels.select(F.col("v").alias(node), F.col("l").alias("component"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -62,10 +63,41 @@ def keep(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+#: Paths of the tables that ``cut_table`` has written and nothing has dropped yet.
+_TABLES: set[str] = set()
+
+
 def cut_table(df: DataFrame) -> DataFrame:
     """Cut the lineage by writing ``df`` as Parquet below the checkpoint folder and reading it again: smaller
-    than a checkpoint, and later reads take only the columns they need."""
+    than a checkpoint, and later reads take only the columns they need. The table goes with ``drop_table`` or, at
+    the latest, when the driver's Python ends."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _TABLES.add(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._marlstone_table = path
+    return out
+
+
+def drop_table(df: DataFrame | None) -> None:
+    """Delete the table behind a result of ``cut_table`` that nothing will read again; others are left alone."""
+    path = getattr(df, "_marlstone_table", None)
+    if path in _TABLES:
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _TABLES.discard(path)
+
+
+@atexit.register
+def _delete_tables() -> None:
+    spark = SparkSession.getActiveSession() if _TABLES else None
+    for path in list(_TABLES) if spark is not None else ():
+        try:
+            _delete(spark, path)
+        except Exception:  # the session has ended already
+            return

@@ -26,13 +26,16 @@ def publish(tables: Mapping[str, DataFrame], root: str, validate: Callable[[Mapp
     if validate:
         validate(staged)
     jvm = spark._jvm
-    pointer, fresh = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT"), jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT.{version}")
-    fs = pointer.getFileSystem(spark._jsc.hadoopConfiguration())
-    out = fs.create(fresh, True)
+    path = jvm.org.apache.hadoop.fs.Path
+    pointer, fresh = path(f"{root}/CURRENT"), path(f"{root}/CURRENT.{version}")
+    out = pointer.getFileSystem(spark._jsc.hadoopConfiguration()).create(fresh, True)
     out.write(bytearray(version.encode()))
     out.close()
-    fs.delete(pointer, False)
-    fs.rename(fresh, pointer)
+    # One rename takes the place of the old pointer: there is no moment without a published version.
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(root).toUri(), spark._jsc.hadoopConfiguration())
+    files.rename(files.makeQualified(fresh), files.makeQualified(pointer), overwrite)
     return version
 
 
