@@ -311,3 +311,89 @@ def identity_checks(spark: SparkSession, d: str) -> DataFrame:
         found = rows.groupBy(key).agg(F.countDistinct(of).alias("n")).where("n > 1").agg(F.lit(name).alias("rule"), F.count("*").alias("findings"))
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def _grams_sql(text: str, n: int = 3) -> str:
+    return f"CASE WHEN length({text}) = 0 THEN []::VARCHAR[] WHEN length({text}) <= {n} THEN [{text}] ELSE list_distinct(list_transform(range(1, length({text}) - {n - 2}), lambda i: substring({text}, i, {n}))) END"
+
+
+_QUESTION = "regexp_replace(lower(question), '[^a-z0-9一-鿿]+', '', 'g')"
+
+
+def _linked(keys: DataFrame, num: int, den: int, strict: bool = False) -> DataFrame:
+    """(class, links): how many other texts ``t`` share more than num/den of their three-grams, by text."""
+    sets = keys.select("class", X.ngram_set(F.col("t"), 3, whole_if_short=True).alias("s"))
+    p = S.jaccard_join(sets, "class", "s", num, den, strict)
+    links = p.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
+    return keys.select("class").join(links, "class", "left").select("class", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def _links_sql(num: int, den: int, more: str) -> str:
+    return f"""flat AS (SELECT class, len(s) AS n, unnest(s) AS g FROM (SELECT class, {_grams_sql("t")} AS s FROM reps)),
+pairs AS (SELECT a.class AS a, b.class AS b, count(*) AS both, any_value(a.n) + any_value(b.n) - count(*) AS either FROM flat a JOIN flat b ON a.g = b.g AND a.class < b.class GROUP BY ALL HAVING count(*) * {den} {more} (any_value(a.n) + any_value(b.n) - count(*)) * {num}),
+links AS (SELECT class, count(*) AS links FROM (SELECT a AS class FROM pairs UNION ALL SELECT b FROM pairs) GROUP BY class)"""
+
+
+@query(f"""WITH reps AS (SELECT {_QUESTION} AS t, min(case_id) AS class FROM questions WHERE question IS NOT NULL GROUP BY 1), {_links_sql(7, 10, ">")}
+SELECT DISTINCT case_id, class, coalesce(links, 0) AS links FROM questions JOIN reps ON {_QUESTION} = t LEFT JOIN links USING (class)""")
+def dev_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """Each question with its class of equal texts and the classes whose three-gram similarity is above 0.70."""
+    q = table(spark, d, "questions").where("question is not null").select("case_id", X.answer_key(F.col("question")).alias("t"))
+    keys = q.groupBy("t").agg(F.min("case_id").alias("class"))
+    return q.join(keys, "t").select("case_id", "class").distinct().join(_linked(keys, 7, 10, strict=True), "class").select("case_id", "class", "links")
+
+
+@query(f"""WITH reps AS (SELECT {template_sql("canonical_text")} AS t, min(question_id) AS class FROM question_bank GROUP BY 1 HAVING t <> ''), {_links_sql(72, 100, ">=")}
+SELECT class, coalesce(links, 0) AS links FROM reps LEFT JOIN links USING (class)""")
+def template_clones(spark: SparkSession, d: str) -> DataFrame:
+    """Each template of the bank, by its smallest question, with the templates whose three-gram similarity is 0.72 or more."""
+    keys = bank(spark, d).groupBy(X.template_text(F.col("canonical_text")).alias("t")).agg(F.min("question_id").alias("class")).where("t <> ''")
+    return _linked(keys, 72, 100)
+
+
+@query(f"""WITH rows AS (SELECT DISTINCT item_id, regexp_replace(lower(candidate_answer), '[^a-z0-9一-鿿]+', '', 'g') AS a, reference_points AS p FROM public_human_grading WHERE candidate_answer IS NOT NULL),
+points AS (SELECT item_id, a, regexp_replace(lower(x), '[^a-z0-9一-鿿]+', '', 'g') AS r FROM (SELECT item_id, a, unnest(p) AS x FROM rows) WHERE x IS NOT NULL),
+sets AS (SELECT item_id, {_grams_sql("a")} AS sa, {_grams_sql("r")} AS sr FROM points)
+SELECT item_id, count(*) AS comparisons, round(max(CASE WHEN len(sr) > 0 THEN len(list_intersect(sa, sr)) / len(sr) ELSE 0.0 END), 6) AS most_copied FROM sets GROUP BY item_id""")
+def reference_copies(spark: SparkSession, d: str) -> DataFrame:
+    """For each item the largest share of one of its own reference points' three-grams that a candidate answer has."""
+    rows = table(spark, d, "public_human_grading").where("candidate_answer is not null").select("item_id", X.answer_key(F.col("candidate_answer")).alias("a"), "reference_points").distinct()
+    points = rows.select("item_id", X.ngram_set(F.col("a"), 3, True).alias("sa"), F.explode("reference_points").alias("r")).where("r is not null")
+    share = X.coverage(X.ngram_set(X.answer_key(F.col("r")), 3, True), F.col("sa"))
+    return points.groupBy("item_id").agg(F.count("*").alias("comparisons"), F.round(F.max(share), 6).alias("most_copied"))
+
+
+@query("""SELECT question_id, topic, canonical_text FROM (SELECT DISTINCT question_id, topic, canonical_text FROM question_bank
+WHERE privacy_lane = 'generic' AND lower(trim(review_status, E' \t\n\r')) = 'accepted' AND lower(trim(difficulty, E' \t\n\r')) IN ('medium', '中等', 'hard', '困难')
+AND contains(lower(coalesce(topic, '') || ' ' || canonical_text), 'rag')) ORDER BY question_id, topic, canonical_text LIMIT 20""")
+def bank_selection(spark: SparkSession, d: str) -> DataFrame:
+    """Accepted questions of a lane and difficulty that name a word: the first 20 by id (the limit is the feature)."""
+    low = lambda c: F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
+    b = bank(spark, d).where((F.col("privacy_lane") == "generic") & (low("review_status") == "accepted") & low("difficulty").isin("medium", "中等", "hard", "困难"))
+    b = b.where(F.lower(F.concat_ws(" ", F.coalesce("topic", F.lit("")), "canonical_text")).contains("rag"))
+    return b.select("question_id", "topic", "canonical_text").distinct().orderBy("question_id", "topic", "canonical_text").limit(20)
+
+
+def _fingerprint_sql(kind: str, parts: list[str]) -> str:
+    joined = " || chr(30) || ".join(f"coalesce({p}, chr(28))" for p in parts)
+    return f"sha256('{kind}' || chr(30) || {joined})"
+
+
+@query(f"""WITH f AS (SELECT 'question' AS kind, case_id, {_fingerprint_sql("question", ["case_id", "question", "CAST(answerable AS VARCHAR)", "array_to_string(list_sort(relevant_chunk_ids), chr(31))"])} AS fingerprint FROM questions
+UNION ALL SELECT 'answer', case_id, {_fingerprint_sql("answer", ["case_id", "question", "answer", "array_to_string(list_sort(cited_chunk_ids), chr(31))"])} FROM answer_fixtures
+UNION ALL SELECT 'grading', case_id, {_fingerprint_sql("grading", ["case_id", "topic", "difficulty", "answer", "CAST(reference_score AS VARCHAR)"])} FROM grading_cases)
+SELECT kind, fingerprint, min(case_id) AS case_id, count(*) AS rows FROM f GROUP BY kind, fingerprint""")
+def content_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """SHA-256 of the content of each record by its kind, in a fixed field order with arrays sorted, and its rows."""
+    listed = lambda c: F.array_join(F.array_sort(c), "\x1f")
+    kinds = {
+        "question": ("questions", ["case_id", "question", F.col("answerable").cast("string"), listed("relevant_chunk_ids")]),
+        "answer": ("answer_fixtures", ["case_id", "question", "answer", listed("cited_chunk_ids")]),
+        "grading": ("grading_cases", ["case_id", "topic", "difficulty", "answer", F.col("reference_score").cast("string")]),
+    }
+    out = None
+    for kind, (name, parts) in kinds.items():
+        whole = F.concat_ws("\x1e", F.lit(kind), *(F.coalesce(F.col(p) if isinstance(p, str) else p, F.lit("\x1c")) for p in parts))
+        rows = table(spark, d, name).select(F.lit(kind).alias("kind"), "case_id", F.sha2(whole, 256).alias("fingerprint"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("kind", "fingerprint").agg(F.min("case_id").alias("case_id"), F.count("*").alias("rows"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions import text as X
+from marlstone.operators import curation as C
 from marlstone.operators import retrieval as R
 from marlstone.plans.registry import Registry, table
 from marlstone.session import keep
@@ -40,9 +42,9 @@ def doc_text() -> F.Column:
     return F.concat_ws(" ", "title", "text")
 
 
-def bm25_sql(scope: str = "TRUE", k: int = 5, final: bool = True) -> str:
+def bm25_sql(scope: str = "TRUE", k: int = 5, final: bool = True, text: str = DOC_TEXT) -> str:
     body = f"""WITH {CASES},
-docs AS (SELECT chunk_id, {terms_sql(DOC_TEXT)} AS terms FROM documents WHERE {scope}),
+docs AS (SELECT chunk_id, {terms_sql(text)} AS terms FROM documents WHERE {scope}),
 sizes AS (SELECT chunk_id, len(terms) AS dl FROM docs),
 stats AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM sizes),
 asked AS (SELECT case_id, term, count(*) AS qtf FROM (SELECT case_id, unnest({terms_sql("question")}) AS term FROM cases) GROUP BY ALL),
@@ -211,6 +213,38 @@ def hit_rate(spark: SparkSession, d: str) -> DataFrame:
     return j.agg(F.count("*").alias("query_count"), F.count("n").alias("hit_count"), (F.coalesce(F.sum("n"), F.lit(0)) / F.count("*")).alias("average_selected"))
 
 
+@query(f"""WITH first AS ({bm25_sql(k=20)}),
+words AS (SELECT f.case_id, f.chunk_id, f.rank, list_distinct({terms_sql("question")}) AS q, list_distinct({terms_sql(DOC_TEXT)}) AS t FROM first f JOIN (SELECT DISTINCT case_id, question FROM questions) USING (case_id) JOIN documents USING (chunk_id))
+SELECT case_id, chunk_id, round(s, 6) AS score, row_number() OVER (PARTITION BY case_id ORDER BY s DESC, rank) AS rank
+FROM (SELECT *, CASE WHEN len(q) > 0 THEN len(list_intersect(q, t)) / len(q) ELSE 0.0 END AS s FROM words) QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY s DESC, rank) <= 5""")
+def reranked_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The best 20 documents of lexical search ordered anew by the share of the question's terms that they hold."""
+    r = ranking(spark, d, 20).join(documents(spark, d).select("chunk_id", doc_text().alias("doc")), "chunk_id").join(cases(spark, d).select("case_id", "question"), "case_id")
+    share = X.coverage(F.array_distinct(X.search_terms(F.col("question"))), F.array_distinct(X.search_terms(F.col("doc"))))
+    scored = r.select("case_id", "chunk_id", "rank", share.alias("s"))
+    return R.reranked(scored, F.col("s"), "case_id", 5).select("case_id", "chunk_id", F.round("s", 6).alias("score"), "rank")
+
+
+_TOPS = ", tops AS (SELECT case_id, coalesce(max(score), 0.0) AS s FROM cases LEFT JOIN ranking USING (case_id) GROUP BY case_id), placed AS (SELECT s, row_number() OVER (ORDER BY s, case_id) - 1 AS i, count(*) OVER () AS n FROM tops)"
+
+
+@query(RANKING + _TOPS + """, spots AS (SELECT DISTINCT CAST(round_even(q * (n - 1) / 10.0, 0) AS BIGINT) AS i FROM (SELECT DISTINCT n FROM placed), range(0, 11) AS r(q))
+SELECT s AS threshold, lead(s) OVER (ORDER BY s) AS next_threshold, round((s + lead(s) OVER (ORDER BY s)) / 2, 9) AS midpoint FROM (SELECT DISTINCT s FROM placed JOIN spots USING (i))""")
+def threshold_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates of a calibration: the scores at eleven empirical quantiles (index rounded half to even) of the best
+    scores, distinct, with the midpoints between neighbours."""
+    top = ranking(spark, d).where("rank = 1").select("case_id", "score")
+    s = cases(spark, d).select("case_id").join(top, "case_id", "left").select("case_id", F.coalesce("score", F.lit(0.0)).alias("s"))
+    whole = F.round(F.col("s") * 1_000_000).cast("bigint").cast("string")  # in the order of the scores, ranges of an eighth first
+    digest = F.concat(F.lpad(F.hex(F.least(F.floor(F.col("s") * 8), F.lit(4095))), 3, "0"), F.lpad(whole, 18, "0"))
+    placed = keep(C.global_rank(s.withColumn("digest", digest), "digest", "case_id"))
+    n = placed.count()
+    at = sorted({round(q * (n - 1) / 10) for q in range(11)}) if n else []
+    few = placed.where((F.col("rn") - 1).isin(at)).select("s").distinct()  # eleven at most
+    after = F.lead("s").over(Window.orderBy("s"))
+    return few.select(F.col("s").alias("threshold"), after.alias("next_threshold"), F.round((F.col("s") + after) / 2, 9).alias("midpoint"))
+
+
 _SUFFIX = " 相关 依据 方法"
 
 
@@ -253,7 +287,9 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     return R.dense(e.where("vec_id % 50 = 0"), e, "vec_id", "vec_id", "embedding").select("query_id", "vec_id", "score", "rank")
 
 
-@query()
+@query(f"""WITH both_rankings AS ({bm25_sql(k=10)} UNION ALL {bm25_sql(k=10, text="text").replace("WITH ", "SELECT * FROM (WITH ", 1)})),
+fused AS (SELECT case_id, chunk_id, sum(CAST(1.0::DOUBLE / (60 + rank) AS DECIMAL(38,12))) AS s FROM both_rankings GROUP BY ALL)
+SELECT case_id, chunk_id, round(CAST(s AS DOUBLE), 9) AS score, row_number() OVER (PARTITION BY case_id ORDER BY s DESC, chunk_id) AS rank FROM fused QUALIFY rank <= 5""")
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
     """Reciprocal rank fusion of lexical search over titles with texts and over texts alone."""
     a = ranking(spark, d, 10)

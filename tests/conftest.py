@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = local_session("tests", 4, **{"spark.sql.shuffle.partitions": "4"})
+    s = local_session("tests", 4, **{"spark.sql.shuffle.partitions": "2"})
     yield s
 
 
