@@ -90,6 +90,26 @@ def test_bm25_by_hand(spark):
     assert R.bm25(q, docs.limit(0), "qid", "q", "id", F.col("t"), 5).count() == 0
 
 
+def test_bm25_in_passes_shuffles_no_pairs(spark, monkeypatch):
+    """Beyond the terms of one pass the search joined all pairs of documents and queries by shuffles."""
+    rng = random.Random(11)
+    text = lambda n: " ".join(rng.choices(["rag", "api", "sql", "检索", "证据", "模型评测", "日志"], k=rng.randint(0, n)))
+    docs = spark.createDataFrame([(f"d{i:03}", text(6)) for i in range(150)], "id string, t string")
+    q = spark.createDataFrame([(f"q{i}", text(5)) for i in range(30)], "qid string, q string")
+    want = {tuple(r) for r in R.bm25(q, docs, "qid", "q", "id", F.col("t"), None).where("rank <= 4").collect()}
+
+    def forbidden(*_):
+        raise AssertionError("pairs are shuffled")
+
+    monkeypatch.setattr(R, "SMALL_ROWS", 0, raising=False)
+    monkeypatch.setattr(R, "_scored_by_joins", forbidden)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")  # many blocks of documents
+    try:
+        assert {tuple(r) for r in R.bm25(q, docs, "qid", "q", "id", F.col("t"), 4, 60).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_boundary_features_by_hand(spark):
     q = spark.createDataFrame([("q", "RAG检索 20%"), ("n", "x"), ("s", "y")], "case_id string, question string")
     r = spark.createDataFrame([("q", 1, 4.0, "RAG 检索"), ("q", 2, 3.0, "20% 别的"), ("s", 1, 1.0, "y")], "case_id string, rank int, score double, doc string")
