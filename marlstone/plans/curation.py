@@ -11,6 +11,7 @@ from marlstone.operators import curation as C
 from marlstone.operators import similarity as S
 from marlstone.plans.registry import Registry, table
 from marlstone.plans.texts import template_sql
+from marlstone.session import cut_table
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -29,7 +30,7 @@ pairs AS (SELECT a.class AS a, b.class AS b, count(*) AS "both", any_value(a.n)
 
 
 def near_pairs(spark: SparkSession, d: str) -> DataFrame:
-    reps = S.representatives(bank(spark, d), "question_id", "normalized_text")
+    reps = cut_table(S.representatives(bank(spark, d), "question_id", "normalized_text"))
     return S.jaccard_join(reps.select("class", S.word_shingles(F.col("text")).alias("s")), "class", "s", 4, 5)
 
 
@@ -241,7 +242,7 @@ def _pair_sql(name: str) -> str:
 def similar_questions(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of texts of one lane with three-gram similarity of 0.82 and two-gram similarity of 0.75 or more."""
     b = bank(spark, d).where("normalized_text is not null")
-    reps = b.groupBy("privacy_lane", F.col("normalized_text").alias("t")).agg(F.min("question_id").alias("class"))
+    reps = cut_table(b.groupBy("privacy_lane", F.col("normalized_text").alias("t")).agg(F.min("question_id").alias("class")))
     # The lane is part of each token, so texts of two lanes share none.
     tokens = F.transform(X.ngram_set(F.col("t"), 3, whole_if_short=True), lambda g: F.concat("privacy_lane", F.lit("\x1f"), g))
     sets = reps.select(F.concat_ws("\x1f", "privacy_lane", "class").alias("k"), tokens.alias("s"))
@@ -278,7 +279,7 @@ def matcher_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Questions of any lanes whose longest matching blocks cover 92 % of both texts; the ratio has no SQL."""
     b = bank(spark, d).where("normalized_text is not null")
     reps = b.groupBy("privacy_lane", F.col("normalized_text").alias("t")).agg(F.min("question_id").alias("class"))
-    keyed = reps.select(F.concat_ws("\x1f", "privacy_lane", "class").alias("k"), "t")
+    keyed = cut_table(reps.select(F.concat_ws("\x1f", "privacy_lane", "class").alias("k"), "t"))
     part = lambda c, i: F.split(F.col(c), "\x1f")[i]
     return matched_pairs(keyed).select(part("a", 0).alias("lane"), part("b", 0).alias("lane_b"), part("a", 1).alias("class_a"), part("b", 1).alias("class_b"), F.round("ratio", 9).alias("ratio"))
 
@@ -322,6 +323,7 @@ _QUESTION = "regexp_replace(lower(question), '[^a-z0-9一-鿿]+', '', 'g')"
 
 def _linked(keys: DataFrame, num: int, den: int, strict: bool = False) -> DataFrame:
     """(class, links): how many other texts ``t`` share more than num/den of their three-grams, by text."""
+    keys = cut_table(keys)
     sets = keys.select("class", X.ngram_set(F.col("t"), 3, whole_if_short=True).alias("s"))
     p = S.jaccard_join(sets, "class", "s", num, den, strict)
     links = p.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))

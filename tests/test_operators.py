@@ -46,6 +46,19 @@ def test_cosine_join_equals_brute_force(spark):
     assert got == want
 
 
+def test_pairs_that_only_share_tokens_are_not_shuffled(spark):
+    """Each pair that shared a token of its prefixes was a row of a shuffle; of frames of text those are most pairs."""
+    rng = random.Random(17)
+    bags = {i: set(rng.sample(range(60), 25)) for i in range(120)}
+    bags |= {i + 120: {*bags[i]} ^ {rng.randrange(60)} for i in range(10)}
+    want = {(i, j) for i in bags for j in bags if i < j and len(bags[i] & bags[j]) * 5 >= len(bags[i] | bags[j]) * 4}
+    df = spark.createDataFrame([(i, sorted(b)) for i, b in bags.items()], "k int, s array<int>")
+    vectors = df.select(F.col("k").cast("bigint").alias("id"), F.transform("s", lambda t: F.xxhash64(t)).alias("h"), F.transform("s", lambda _: F.lit(1)).alias("f"))
+    met = {tuple(r) for r in S._candidates(vectors, 4, 5, False).collect()}
+    assert want <= met and len(met) < len(want) + 130 * 129 // 2 // 50
+    assert {(r["a"], r["b"]) for r in S.jaccard_join(df, "k", "s", 4, 5).collect()} == want
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(35)] + [(100 + i, 101 + i) for i in range(30)]
