@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as X
+from marlstone.functions.arrow import search_terms
 from marlstone.operators import curation as C
 from marlstone.operators import metrics as M
 from marlstone.operators import policies as P
@@ -123,6 +124,18 @@ def test_bm25_in_passes_shuffles_no_pairs(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_matches_in_passes_shuffles_no_pairs(spark):
+    """Each pair of a document and a query that share a term was a row of a shuffle."""
+    rng = random.Random(12)
+    text = lambda n: " ".join(rng.choices(["rag", "api", "sql", "检索", "证据", "模型评测", "日志"], k=rng.randint(0, n)))
+    rows, asked = [(f"d{i}", text(4)) for i in range(90)], [(f"q{i}", text(4)) for i in range(25)]
+    docs, q = spark.createDataFrame(rows, "id string, t string"), spark.createDataFrame(asked, "qid string, q string")
+    of = lambda d, n: {r["qid"]: r["candidates"] for r in R.matches(q, d, "qid", "q", "id", F.col("t"), n).collect()}
+    terms = lambda t: set(search_terms(t))
+    want = {i: n for i, t in asked if (n := sum(1 for _, x in rows if terms(t) & terms(x)))}
+    assert of(docs, 10**6) == of(docs, 40) == of(docs.union(docs), 40) == want
+
+
 def test_boundary_features_by_hand(spark):
     q = spark.createDataFrame([("q", "RAG检索 20%"), ("n", "x"), ("s", "y")], "case_id string, question string")
     r = spark.createDataFrame([("q", 1, 4.0, "RAG 检索"), ("q", 2, 3.0, "20% 别的"), ("s", 1, 1.0, "y")], "case_id string, rank int, score double, doc string")
