@@ -51,15 +51,24 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Numbers that are worked on at once, so that they stay in the cache of a core.
+BLOCK = 1 << 14
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, on whole arrays."""
-    x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(30)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
-    return x
+    out = np.array(x, dtype=np.uint64, order="C")
+    flat = out.reshape(-1)
+    room = np.empty(min(len(flat), BLOCK), dtype=np.uint64)
+    for a in range(0, len(flat), BLOCK):
+        h = flat[a : a + BLOCK]
+        shifted = room[: len(h)]
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, None)):
+            np.right_shift(h, np.uint64(shift), out=shifted)
+            h ^= shifted
+            if factor:
+                h *= np.uint64(factor)
+    return out
 
 
 def gram_hashes(flat: np.ndarray, n: int) -> np.ndarray:
@@ -67,13 +76,16 @@ def gram_hashes(flat: np.ndarray, n: int) -> np.ndarray:
     see ``gram_starts``)."""
     if len(flat) < n:
         return np.zeros(0, dtype=np.uint64)
-    size = len(flat) - n + 1
-    h = np.zeros(size, dtype=np.uint64)
+    out = np.zeros(len(flat) - n + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(n):
-            h *= np.uint64(0x100000001B3)
-            h += flat[i : i + size].astype(np.uint64) + np.uint64(0x9E37)
-        return mix64(h * _MIX)
+        for a in range(0, len(out), BLOCK):
+            h = out[a : a + BLOCK]
+            points = flat[a : a + len(h) + n - 1].astype(np.uint64) + np.uint64(0x9E37)
+            for i in range(n):
+                h *= np.uint64(0x100000001B3)
+                h += points[i : i + len(h)]
+            h *= _MIX
+        return mix64(out)
 
 
 def gram_starts(offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

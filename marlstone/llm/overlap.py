@@ -8,20 +8,21 @@ across the split are kept, and each is verified by the exact Jaccard similarity
 
 Sizes: what is broadcast is the sketches (fixed size) and the few texts that hold over a thousandth of the
 rows each (at most a thousand). Copies of one text are one entry of a bucket, and an entry is shuffled only if
-a bitmap (of a size that grows with the entries up to 16 MB a side) says that the other side has its bucket too; a full
-bitmap costs shuffles, never pairs. No pair within a side and no pair of exact copies goes through the buckets.
+bitmaps (three, of a size that grows with the entries up to 16 MB each) say that the other side has its bucket too; full
+bitmaps cost shuffles, never pairs. Entries carry a sketch of their text, so only pairs that are likely by it leave
+the join. No pair within a side and no pair of exact copies goes through the buckets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.core.broadcast import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import fingerprints, gram_hashes, gram_starts, is_han, mix64, some_texts, squeezed_flat
@@ -37,10 +38,13 @@ LEAST_KEPT = 0.5
 #: A pair at the threshold shares no band with a chance of (1 - 0.47 ** 3) ** 40 = 1.2 %.
 BANDS, ROWS = 40, 3
 THRESHOLD = 0.47
-#: Minhash values of a pair that must agree before its texts are fetched: far below the threshold.
-LEAST_AGREE = 0.2
+#: Minhash values of a sketch (two bits of each), and the share of them that must agree before the texts of a pair are fetched:
+#: 0.60 is expected at the threshold, where a pair falls short with a chance of 0.004 %.
+SKETCH, LEAST_AGREE = 96, 39 / 96
 BUCKETS = 1 << 18
 CHUNK = 1 << 12
+#: Shingles that are hashed at once, and texts that are worked on at once, so that they stay in the cache of a core.
+BLOCK, SLICE = 1 << 15, 2500
 #: Rows up to which a list of text hashes is broadcast; beyond, the join is shuffled.
 SMALL_LIST = 200_000
 #: Binary logarithms of the bits of a bitmap of buckets; bits of a piece of it.
@@ -111,24 +115,50 @@ def group_weights(found: Shingled, counts: np.ndarray, most: float) -> np.ndarra
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
-#: Longs that hold one byte of each of the first minhash values.
-SKETCH = 5
 
 
 def minhashes(found: Shingled) -> np.ndarray:
-    """One row of BANDS*ROWS values per text; each text has a shingle."""
-    out = np.empty((len(found.offsets) - 1, BANDS * ROWS), dtype=np.uint32)
+    """One row of BANDS*ROWS values per text; each text has a shingle. Texts go in blocks of BLOCK shingles or one text, which
+    stay in the cache of a core."""
+    n = len(found.offsets) - 1
+    out = np.empty((n, BANDS * ROWS), dtype=np.uint32)
     short = (found.hashes >> np.uint64(32)).astype(np.uint32)
+    a = 0
     with np.errstate(over="ignore"):
-        for i in range(BANDS * ROWS):
-            values = short * _A[i]
-            values ^= _B[i]
-            out[:, i] = np.minimum.reduceat(values, found.offsets[:-1])
+        while a < n:
+            b = max(a + 1, int(np.searchsorted(found.offsets, found.offsets[a] + BLOCK, side="right")) - 1)
+            mine, starts = short[found.offsets[a] : found.offsets[b]], found.offsets[a:b] - found.offsets[a]
+            values, least = np.empty_like(mine), np.empty((BANDS * ROWS, b - a), dtype=np.uint32)
+            for i in range(BANDS * ROWS):
+                np.multiply(mine, _A[i], out=values)
+                values ^= _B[i]
+                np.minimum.reduceat(values, starts, out=least[i])
+            out[a:b] = least.T
+            a = b
     return out
 
 
 def sketches(values: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray((values[:, : 8 * SKETCH] & np.uint32(255)).astype(np.uint8)).view(np.int64)
+    """Two bits of each of the first minhash values, each in a byte of its own."""
+    return np.ascontiguousarray((values[:, :SKETCH] & np.uint32(3)).astype(np.uint8)).view(np.int64)
+
+
+def packed(sketches: np.ndarray) -> np.ndarray:
+    """Sketches with four values to the byte."""
+    parts = sketches.view(np.uint8).reshape(len(sketches), 4, SKETCH // 4)
+    out = parts[:, 0].copy()
+    for i in (1, 2, 3):
+        out |= parts[:, i] << np.uint8(2 * i)
+    return out.view(np.int64)
+
+
+def agreeing(x: Sequence[Column], y: Sequence[Column]) -> Column:
+    """Number of values that agree in two packed sketches, given as longs."""
+    out = F.lit(SKETCH)
+    for a, b in zip(x, y):
+        d = a.bitwiseXOR(b)
+        out = out - F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    return out
 
 
 def bands(values: np.ndarray, salt: int) -> np.ndarray:
@@ -151,6 +181,33 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def distinct_shingles(texts: list[str], counts: np.ndarray, most: float) -> np.ndarray:
+    """The kept shingles of at most SLICE texts, sorted: number of the text above the first 50 bits of the hash."""
+    out = [np.zeros(0, dtype=np.uint64)]
+    for where, found in grouped(*squeezed_flat(texts)):
+        left = kept(found, counts, most)
+        owner = np.repeat(where, np.diff(left.offsets)).astype(np.uint64)
+        out.append((owner << np.uint64(50)) | (left.hashes >> np.uint64(14)))
+    keys = np.sort(np.concatenate(out))  # several times as fast as np.unique, which hashes
+    first = np.ones(len(keys), dtype=bool)
+    first[1:] = keys[1:] != keys[:-1]
+    return keys[first]
+
+
+def jaccards(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """``jaccard`` of ``n`` pairs of texts, given as ``distinct_shingles``."""
+    sizes = lambda x: np.bincount((x >> np.uint64(50)).astype(np.int64), minlength=n)
+    both = sizes(np.intersect1d(a, b, assume_unique=True))
+    return both / np.maximum(1, sizes(a) + sizes(b) - both)
+
+
+def _slices(b: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame]]:
+    """Rows of one table, at most SLICE at once, with its number."""
+    for tab, part in b.groupby("tab"):
+        for i in range(0, len(part), SLICE):
+            yield int(tab), part.iloc[i : i + SLICE]
+
+
 def _side(split: Column) -> Column:
     """1 for train, 2 for dev and test, null for others."""
     s = F.lower(F.regexp_replace(split, r"^[\s\p{Z}\p{C}]+|[\s\p{Z}\p{C}]+$", ""))
@@ -202,8 +259,7 @@ def _weighted_counts(rows: DataFrame, tables: int, known: Broadcast, before: Bro
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mine, sums = known.value, {}
         for b in batches:
-            for tab, part in b.groupby("tab"):
-                tab = int(tab)
+            for tab, part in _slices(b):
                 weights = np.array([1.0 / mine.get((tab, int(h)), 1) for h in part["h"]])
                 total = sums.setdefault(tab, np.zeros(BUCKETS + CHUNK))  # the last chunk: weights before and after
                 for where, found in grouped(*squeezed_flat(list(part["text"]))):
@@ -231,16 +287,23 @@ def _weighted_counts(rows: DataFrame, tables: int, known: Broadcast, before: Bro
     return [c[:BUCKETS] for c in counts], [float(c[BUCKETS + 1] / c[BUCKETS]) if c[BUCKETS] else 1.0 for c in counts]
 
 
-def _marks(entries: DataFrame, cells: int) -> dict[int, np.ndarray]:
-    """For each side a bitmap of the cells that its bucket numbers fall into. Tasks send compressed pieces of
-    their bitmaps, which are united before they are collected: ``cells`` bits a side, whatever the input."""
+def _marks(entries: DataFrame, cells: int, sides: tuple[int, ...] = (1, 2), known: tuple[Broadcast, int] | None = None, salt: int = 0) -> dict[int, np.ndarray]:
+    """For each of the sides a bitmap of the cells that its bucket numbers fall into, if the bitmap ``known`` (with
+    its salt) has them. Tasks send compressed pieces of their bitmaps, which are united before they are collected: ``cells``
+    bits a side, whatever the input."""
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = {1: np.zeros(cells, dtype=bool), 2: np.zeros(cells, dtype=bool)}
+        bits = {k: np.zeros(cells, dtype=bool) for k in sides}
+        before = None if known is None else _opened(known[0])
         for b in batches:
+            if not len(b):
+                continue
             numbers, side = _longs(b["bands"]), b["side"].to_numpy()
             for k, own in bits.items():
-                own[_cells(numbers[side == k].ravel(), cells)] = True
+                mine = numbers[side == k].ravel()
+                if before is not None:
+                    mine = mine[_marked(before, _cells(mine, cells, known[1]))]
+                own[_cells(mine, cells, salt)] = True
         pack = zstandard.ZstdCompressor(level=1)
         for k, own in bits.items():
             pieces = [(i, x) for i, x in enumerate(own.reshape(-1, PIECE)) if x.any()]
@@ -252,7 +315,7 @@ def _marks(entries: DataFrame, cells: int) -> dict[int, np.ndarray]:
         return pd.DataFrame({"side": [part["side"].iloc[0]], "piece": [part["piece"].iloc[0]], "bits": [zstandard.ZstdCompressor(level=1).compress(total.tobytes())]})
 
     schema = "side int, piece int, bits binary"
-    out = {k: np.zeros(cells // 8, dtype=np.uint8) for k in (1, 2)}
+    out = {k: np.zeros(cells // 8, dtype=np.uint8) for k in sides}
     for r in entries.mapInPandas(mark, schema).groupBy("side", "piece").applyInPandas(unite, schema).collect():
         out[r["side"]][r["piece"] * (PIECE // 8) : (r["piece"] + 1) * (PIECE // 8)] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["bits"]), dtype=np.uint8)
     return out
@@ -263,8 +326,9 @@ def _longs(values: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(values), dtype=np.int64).reshape(len(values), -1)
 
 
-def _cells(numbers: np.ndarray, cells: int) -> np.ndarray:
-    return (mix64(numbers) & np.uint64(cells - 1)).astype(np.int64)
+def _cells(numbers: np.ndarray, cells: int, salt: int = 0) -> np.ndarray:
+    """Cells of bucket numbers. Two numbers in one cell are hardly in one with another salt."""
+    return (mix64(numbers + salt) & np.uint64(cells - 1)).astype(np.int64)
 
 
 def _marked(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
@@ -272,6 +336,44 @@ def _marked(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return (bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 > 0
 
 
+def _sent(spark: SparkSession, bits: np.ndarray) -> Broadcast:
+    """A broadcast of a bitmap, of which each executor writes a copy."""
+    return spark.sparkContext.broadcast(zstandard.ZstdCompressor(level=1).compress(bits.tobytes()))
+
+
+def _opened(bits: Broadcast) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(bits.value), dtype=np.uint8)
+
+
+def meeting_entries(heads: DataFrame, cells: int) -> tuple[DataFrame, list[Broadcast]]:
+    """(side, band, fp, s0, s1, s2) of the buckets of ``heads`` (side, fp, sketch, bands) that the other side has too, and of
+    few others; and the bitmaps, which serve until the entries are read. They are made in turn, each of what the one
+    before leaves: of evaluation, of training in it, of evaluation in that. So few cells of the last two are set, even if
+    many of the first are."""
+    spark = heads.sparkSession
+    side = lambda k: heads.where(F.col("side") == k).select("side", "bands")
+    first = _sent(spark, _marks(side(2), cells, (2,))[2])
+    second = _sent(spark, _marks(side(1), cells, (1,), (first, 0), 1)[1])
+    third = _sent(spark, _marks(side(2), cells, (2,), (second, 1), 2)[2])
+
+    def meeting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        steps = {2: [(_opened(second), 1)], 1: [(_opened(first), 0), (_opened(third), 2)]}
+        for b in batches:
+            if not len(b):
+                continue
+            numbers, sketch, side, fp = _longs(b["bands"]), _longs(b["sketch"]), b["side"].to_numpy(), b["fp"].to_numpy()
+            for k, bitmaps in steps.items():
+                own = np.flatnonzero(side == k)
+                at, mine = np.repeat(own, numbers.shape[1]), numbers[own].ravel()
+                for bits, salt in bitmaps:
+                    left = _marked(bits, _cells(mine, cells, salt))
+                    at, mine = at[left], mine[left]
+                yield pd.DataFrame({"side": np.full(len(at), k, dtype=np.int32), "band": mine, "fp": fp[at]} | {f"s{i}": x[at] for i, x in enumerate(sketch.T)})
+
+    schema = "side int, band long, fp long, s0 long, s1 long, s2 long"
+    return heads.select("side", "fp", "sketch", "bands").mapInPandas(meeting, schema), [first, second, third]
+
+
 @dataclass
 class Links:
     """``members``: (tab, fp, side, id, split) of all rows, ``fp`` being their class of equal text up to form;
@@ -296,18 +398,21 @@ def near_links(tables: Mapping[str, tuple[DataFrame, str, str, str]], threshold:
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for tab, part in b.groupby("tab"):
+            seen = np.zeros(0, dtype=np.int64)
+            for tab, part in _slices(b):
                 flat, offsets = squeezed_flat(list(part["text"]))
-                fp = fingerprints(flat, offsets, int(tab))
+                fp = fingerprints(flat, offsets, tab)
                 out = pd.DataFrame({"tab": part["tab"], "id": part["id"], "side": part["side"], "split": part["split"], "fp": fp})
                 # Copies within the batch get no bands: the first of each side stands for them.
-                out["head"] = ~out.duplicated(["fp", "side"]) & (np.diff(offsets) > 0)
+                own = fp + part["side"].to_numpy()
+                out["head"] = ~out.duplicated(["fp", "side"]) & ~np.isin(own, seen) & (np.diff(offsets) > 0)
+                seen = np.concatenate((seen, own))
                 heads = np.flatnonzero(out["head"])
                 flat, offsets2 = some_texts(flat, offsets, out["head"].to_numpy())
                 columns: dict[str, list] = {"sketch": [None] * len(out), "bands": [None] * len(out)}
                 for where, found in grouped(flat, offsets2):
-                    values = minhashes(kept(found, shared.value[int(tab)], most[int(tab)]))
-                    for name, numbers in (("sketch", sketches(values)), ("bands", bands(values, int(tab) + 1))):
+                    values = minhashes(kept(found, shared.value[tab], most[tab]))
+                    for name, numbers in (("sketch", packed(sketches(values))), ("bands", bands(values, tab + 1))):
                         raw, width = numbers.tobytes(), numbers.shape[1] * 8
                         for j, i in enumerate(heads[where]):
                             columns[name][i] = raw[j * width : (j + 1) * width]
@@ -315,8 +420,8 @@ def near_links(tables: Mapping[str, tuple[DataFrame, str, str, str]], threshold:
 
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for tab, part in b.groupby("tab"):
-                yield part.assign(fp=fingerprints(*squeezed_flat(list(part["text"])), int(tab)))[["tab", "fp", "text"]]
+            for tab, part in _slices(b):
+                yield part.assign(fp=fingerprints(*squeezed_flat(list(part["text"])), tab))[["tab", "fp", "text"]]
 
     # Numbers as bytes: arrays, and columns of their own, would be converted one by one.
     schema = "tab int, id string, side int, split string, fp long, head boolean, sketch binary, bands binary"
@@ -324,37 +429,16 @@ def near_links(tables: Mapping[str, tuple[DataFrame, str, str, str]], threshold:
     heads = sketched.where("head")
     # A bucket number goes on only if its cell is marked on the other side too: of others no pair can come.
     cells = 1 << min(MOST_CELLS, max(LEAST_CELLS, int(heads.count() * BANDS * 4).bit_length()))
-    marks = spark.sparkContext.broadcast(_marks(heads.select("side", "bands"), cells))
-
-    def meeting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        other = {1: marks.value[2], 2: marks.value[1]}
-        for b in batches:
-            numbers, side, fp = _longs(b["bands"]), b["side"].to_numpy(), b["fp"].to_numpy()
-            for k, bits in other.items():
-                mine = numbers[side == k]
-                i, j = np.nonzero(_marked(bits, _cells(mine.ravel(), cells)).reshape(mine.shape))
-                yield pd.DataFrame({"side": np.full(len(i), k, dtype=np.int32), "band": mine[i, j], "fp": fp[side == k][i]})
-
+    entries, bitmaps = meeting_entries(heads, cells)
     # Heads are those of a batch: one entry is left of the copies of a text in all batches. The join by bucket finds
-    # the entries where the distinct left them.
-    entries = heads.select("side", "fp", "bands").mapInPandas(meeting, "side int, band long, fp long").repartition("band").distinct()
-    ours = entries.where("side = 2").select("band", F.col("fp").alias("e"))
-    theirs = entries.where("side = 1").select("band", F.col("fp").alias("t"))
-    met = cut_table(ours.join(theirs, "band").where(F.col("e") != F.col("t")).select("e", "t").distinct())
-    wanted = met.select(F.explode(F.array("e", "t")).alias("fp")).distinct()
-    hint = F.broadcast if wanted.count() <= SMALL_LIST else (lambda x: x)
-    one = heads.join(hint(wanted), "fp", "left_semi").groupBy("fp").agg(F.min("sketch").alias("sketch"))
-    candidates = met.join(one.select(F.col("fp").alias("e"), F.col("sketch").alias("es")), "e")
-    candidates = candidates.join(one.select(F.col("fp").alias("t"), F.col("sketch").alias("ts")), "t")
-
-    def agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            x, y = _longs(b["es"]).view(np.uint8), _longs(b["ts"]).view(np.uint8)
-            yield b[["e", "t"]][(x == y).mean(axis=1) >= LEAST_AGREE]
-
-    likely = cut_table(candidates.mapInPandas(agree, "e long, t long"))
+    # the entries where the distinct left them, and compares the sketches of its pairs.
+    entries = entries.repartition("band").distinct()
+    ours = entries.where("side = 2").select("band", F.col("fp").alias("e"), *(F.col(f"s{i}").alias(f"e{i}") for i in range(3)))
+    theirs = entries.where("side = 1").select("band", F.col("fp").alias("t"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(3)))
+    agree = agreeing([F.col(f"e{i}") for i in range(3)], [F.col(f"t{i}") for i in range(3)])
+    likely = cut_table(ours.join(theirs, "band").where((F.col("e") != F.col("t")) & (agree >= round(LEAST_AGREE * SKETCH))).select("e", "t").distinct())
+    for b in bitmaps:
+        b.destroy()
     wanted = likely.select(F.explode(F.array("e", "t")).alias("fp")).distinct()
     hint = F.broadcast if wanted.count() <= SMALL_LIST else (lambda x: x)
     # Texts of the candidates only: one row of each, found by its id.
@@ -367,16 +451,9 @@ def near_links(tables: Mapping[str, tuple[DataFrame, str, str, str]], threshold:
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for tab, part in b.groupby("tab"):
-                both = []
-                for side in ("te", "tt"):
-                    of: list = [None] * len(part)
-                    for where, found in grouped(*squeezed_flat(list(part[side]))):
-                        left = kept(found, shared.value[int(tab)], most[int(tab)])
-                        for j, i in enumerate(where):
-                            of[i] = left.hashes[left.offsets[j] : left.offsets[j + 1]]
-                    both.append(of)
-                j = np.array([jaccard(x, y) if x is not None and y is not None else 0.0 for x, y in zip(*both)])
+            for tab, part in _slices(b):
+                x, y = (distinct_shingles(list(part[side]), shared.value[tab], most[tab]) for side in ("te", "tt"))
+                j = jaccards(x, y, len(part))
                 yield pd.DataFrame({"e": part["e"], "t": part["t"], "similarity": j})[j >= threshold]
 
     verified = cut_table(pairs.select("e", "t", "tab", "te", "tt").mapInPandas(verify, "e long, t long, similarity double"))

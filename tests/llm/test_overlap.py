@@ -135,3 +135,57 @@ def test_marks_keep_every_bucket_of_both_sides(spark):
     marks = O._marks(df.repartition(3), 1 << 20)
     kept = O._marked(marks[2], O._cells(numbers[:25].ravel(), 1 << 20)).reshape(-1, 2)
     assert kept[:5].all() and kept[5:].mean() < 0.1
+
+
+def test_only_pairs_likely_by_their_sketches_leave_the_join(spark):
+    rng = np.random.default_rng(6)
+
+    def share(same):
+        m = rng.integers(0, 2**32, (1000, 2, O.BANDS * O.ROWS), dtype=np.uint32)
+        alike = rng.random((1000, O.BANDS * O.ROWS)) < same
+        m[:, 1][alike] = m[:, 0][alike]
+        a, b = (O.sketches(m[:, k]) for k in (0, 1))
+        want = (a.view(np.uint8) == b.view(np.uint8)).sum(axis=1)
+        df = spark.createDataFrame(np.hstack([O.packed(a), O.packed(b)]).tolist(), "a0 long, a1 long, a2 long, b0 long, b1 long, b2 long")
+        got = [r[0] for r in df.select(O.agreeing([df.a0, df.a1, df.a2], [df.b0, df.b1, df.b2])).collect()]
+        assert got == want.tolist()
+        return np.mean(want >= round(O.LEAST_AGREE * O.SKETCH))
+
+    assert share(O.THRESHOLD) > 0.995 and share(0.1) < 0.12
+
+
+def test_few_entries_without_a_partner_go_on_if_bitmaps_are_well_filled(spark):
+    rng = np.random.default_rng(7)
+    numbers = rng.integers(0, 2**40, (12000, O.BANDS))
+    numbers[:50] = numbers[-50:]  # 50 evaluation texts are in the buckets of 50 training texts
+    side = np.where(np.arange(12000) < 3000, 2, 1)
+    rows = [(int(k), i, bytearray(24), bytearray(x.tobytes())) for i, (k, x) in enumerate(zip(side, numbers))]
+    heads = spark.createDataFrame(rows, "side int, fp long, sketch binary, bands binary").repartition(3)
+    entries, _ = O.meeting_entries(heads, O.PIECE)  # a fifth of the cells is set by evaluation
+    got = {(r["side"], r["band"], r["fp"]) for r in entries.collect()}
+    want = {(int(side[i]), int(n), i) for i in [*range(50), *range(11950, 12000)] for n in numbers[i]}
+    assert want <= got and len(got - want) < 0.06 * numbers.size
+
+
+def test_jaccards_are_those_of_each_pair():
+    t, _ = texts(40, 9)
+    counts = np.ones(O.BUCKETS, dtype=np.float32)
+    x, y = [*t, "", "短"], [*t[1:], t[0], t[0], "a short one in letters"]
+    y[3] = x[3][:40] + y[3][40:]
+
+    def shingles(text):
+        found = O.grouped(*common.squeezed_flat([text]))
+        return O.kept(found[0][1], counts, 20).hashes if found else np.zeros(0, dtype=np.uint64)
+
+    got = O.jaccards(O.distinct_shingles(x, counts, 20), O.distinct_shingles(y, counts, 20), len(x))
+    assert got.tolist() == [O.jaccard(shingles(a), shingles(b)) for a, b in zip(x, y)] and got[3] > 0.1
+
+
+def test_minhashes_and_shingles_do_not_depend_on_blocks(monkeypatch):
+    t, _ = texts(60, 10)
+    flat, offsets = common.squeezed_flat([*t, "长" * 400])
+    want = [(f.hashes, O.minhashes(f)) for _, f in O.grouped(flat, offsets)]
+    monkeypatch.setattr(O, "BLOCK", 97)
+    monkeypatch.setattr(common, "BLOCK", 89)
+    got = [(f.hashes, O.minhashes(f)) for _, f in O.grouped(flat, offsets)]
+    assert all((a == c).all() and (b == d).all() for (a, b), (c, d) in zip(want, got, strict=True))
