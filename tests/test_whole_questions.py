@@ -32,3 +32,10 @@ def rows(spark, d, name):
 def test_bm25_topk_asks_with_every_question(spark, small):
     same(spark, small, connect(small), catalogue.queries()["bm25_topk"], catalogue.oracles()["bm25_topk"])
     assert {r["case_id"] for r in rows(spark, small, "bm25_topk")} == {"rc_50", "rc_7", "plain", None}
+
+
+def test_boundary_features_asks_with_every_question(spark, small):
+    got = {r["case_id"]: r for r in rows(spark, small, "boundary_features")}
+    assert got.keys() == {q[0] for q in QUESTIONS} and len(rows(spark, small, "boundary_features")) == len(got)
+    assert got["rc_7"]["reason"] is None and got["rc_7"]["anchor_coverage"] == got["rc_7"]["union_coverage"] == 1.0
+    assert got["rc_8"]["reason"] == got["rc_9"]["reason"] == "no_documents"
