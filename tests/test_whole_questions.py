@@ -39,3 +39,9 @@ def test_boundary_features_asks_with_every_question(spark, small):
     assert got.keys() == {q[0] for q in QUESTIONS} and len(rows(spark, small, "boundary_features")) == len(got)
     assert got["rc_7"]["reason"] is None and got["rc_7"]["anchor_coverage"] == got["rc_7"]["union_coverage"] == 1.0
     assert got["rc_8"]["reason"] == got["rc_9"]["reason"] == "no_documents"
+
+
+def test_gate_decisions_decides_every_question(spark, small):
+    got = {(r["case_id"], r["policy"]): r["decision"] for r in rows(spark, small, "gate_decisions")}
+    assert got.keys() == {(q[0], p) for q in QUESTIONS for p in ("margin", "coverage", "composite")}
+    assert got["rc_7", "coverage"] == "passed" and got["rc_8", "coverage"] == "no_documents"
