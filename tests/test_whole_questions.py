@@ -2,7 +2,7 @@
 
 import pytest
 
-from marlstone.plans import catalogue
+from marlstone.plans import catalogue, metrics
 from oracle import connect, same
 
 DOCS = [
@@ -45,3 +45,10 @@ def test_gate_decisions_decides_every_question(spark, small):
     got = {(r["case_id"], r["policy"]): r["decision"] for r in rows(spark, small, "gate_decisions")}
     assert got.keys() == {(q[0], p) for q in QUESTIONS for p in ("margin", "coverage", "composite")}
     assert got["rc_7", "coverage"] == "passed" and got["rc_8", "coverage"] == "no_documents"
+
+
+def test_gate_grid_counts_every_question(spark, small, monkeypatch):
+    seen = []
+    monkeypatch.setattr(metrics.M, "grid_search", lambda observations, *_: seen.append(observations) or observations)
+    rows(spark, small, "gate_grid")
+    assert sorted(str((r["case_id"], r["answerable"])) for r in seen[0].collect()) == sorted({str((q[0], q[3])) for q in QUESTIONS})
