@@ -2,7 +2,7 @@
 
 import pytest
 
-from marlstone.plans import catalogue, metrics
+from marlstone.plans import catalogue, metrics, retrieval
 from oracle import connect, same
 
 DOCS = [
@@ -52,3 +52,17 @@ def test_gate_grid_counts_every_question(spark, small, monkeypatch):
     monkeypatch.setattr(metrics.M, "grid_search", lambda observations, *_: seen.append(observations) or observations)
     rows(spark, small, "gate_grid")
     assert sorted(str((r["case_id"], r["answerable"])) for r in seen[0].collect()) == sorted({str((q[0], q[3])) for q in QUESTIONS})
+
+
+def test_query_retry_asks_with_every_question(spark, small):
+    got = rows(spark, small, "query_retry")  # all are weak over so few documents
+    assert {r["case_id"] for r in got if r["attempt"] == 2} == {"rc_50", "rc_7", "plain", None} and not [r for r in got if r["attempt"] == 1]
+
+
+def test_query_retry_keeps_strong_results(spark, small, monkeypatch):
+    """Of the null key too: each question has either its first or its second results."""
+    first = spark.createDataFrame([("rc_50", "k1", 61.0, 1), ("rc_50", "k5", 2.0, 2), (None, "k5", 70.0, 1), ("rc_7", "k2", 59.9, 1)], "case_id string, chunk_id string, score double, rank int")
+    monkeypatch.setattr(retrieval, "ranking", lambda *_, **__: first)
+    got = rows(spark, small, "query_retry")
+    assert sorted(str(r["case_id"]) + r["chunk_id"] for r in got if r["attempt"] == 1) == ["Nonek5", "rc_50k1", "rc_50k5"]
+    assert {r["case_id"] for r in got if r["attempt"] == 2} == {"rc_7", "plain"}
