@@ -66,3 +66,9 @@ def test_query_retry_keeps_strong_results(spark, small, monkeypatch):
     got = rows(spark, small, "query_retry")
     assert sorted(str(r["case_id"]) + r["chunk_id"] for r in got if r["attempt"] == 1) == ["Nonek5", "rc_50k1", "rc_50k5"]
     assert {r["case_id"] for r in got if r["attempt"] == 2} == {"rc_7", "plain"}
+
+
+def test_threshold_calibration_rates_every_question(spark, small):
+    same(spark, small, connect(small), catalogue.queries()["threshold_calibration"], catalogue.oracles()["threshold_calibration"])
+    got = rows(spark, small, "threshold_calibration")[0]  # one question alone has no unanswerable ones to be told from
+    assert (got["score_threshold"], got["strictly_above"], got["answerable_recall"], got["no_answer_accuracy"]) == (0.0, True, 1.0, 1.0)
